@@ -56,9 +56,10 @@ def _release_all() -> None:
             pass
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df's input, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame) -> int:
+    """Size of docs (doc_id, text): Catalyst's estimate, without a job; where it has none, the texts are measured."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def crc_mod(col: Column, m: int) -> Column:

@@ -107,7 +107,7 @@ def _blob_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
 
 
-def shard_table(docs: DataFrame, label: str) -> DataFrame:
+def shard_table(docs: DataFrame, label: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store docs (doc_id, text) as shards: shard, docs binary. A null text counts as empty."""
 
     def run(batches):
@@ -127,7 +127,7 @@ def shard_table(docs: DataFrame, label: str) -> DataFrame:
                 ids.append(doc_id.as_py() if doc_id.is_valid else NO_ID)
                 texts.append(raw.to_pybytes() if raw is not None else b"")
                 size += len(texts[-1])
-                if size >= SHARD_BYTES:
+                if size >= shard_bytes:
                     yield row()
         if ids:
             yield row()
