@@ -64,14 +64,14 @@ def features(texts: list[str]) -> np.ndarray:
     return out / np.maximum(norm, 1e-9)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
+def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine, y of -1 and 1, by averaged subgradient descent with classes weighted alike."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, mean = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    x, y = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32), y.astype(np.float32)
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w, mean = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for t in range(1, rounds + 1):
         bad = y * (x @ w) < 1
-        w -= 20.0 / np.sqrt(t) * (penalty * w - (weight * y * bad) @ x)
+        w -= np.float32(20.0 / np.sqrt(t)) * (np.float32(penalty) * w - (weight * y * bad) @ x)
         if t > rounds // 2:
             mean += w
     return mean / (rounds - rounds // 2)

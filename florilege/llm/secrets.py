@@ -116,21 +116,35 @@ def redacted(text: str, mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]]) if found else text
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: str = "spans") -> DataFrame:
-    """Find secrets in whole texts. outputs "spans": doc_id, spans array<struct<kind,start,end>>, redacted; "digests": counts and joined spans. A null text has none."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", outputs: str = "spans", extra: list[str] | None = None) -> DataFrame:
+    """Find secrets in whole texts; a null text has none.
+
+    outputs "spans": doc_id, spans array<struct<kind,start,end>>, redacted; "redacted": doc_id,
+    text with the spans replaced (null stays null), and the columns in extra; "digests":
+    doc_id, counts of the base kinds, the base spans' sha256, all spans joined.
+    """
     joined = lambda found: ",".join(f"{k}:{a}:{b}" for a, b, k in found)
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [spans(t) for t in texts]
+            texts = batch.column(1).to_pylist()
+            ids = batch.column(0).cast(pa.int64())
+            if outputs == "redacted":
+                yield pa.RecordBatch.from_arrays([ids, pa.array([None if t is None else redacted(t) for t in texts], pa.string()), *batch.columns[2:]], [id_col, text_col, *batch.schema.names[2:]])
+                continue
+            found = [spans(t or "") for t in texts]
             if outputs == "spans":
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 cols = {"spans": pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in x] for _, x in found], kind), "redacted": pa.array([redacted(t) if x[1] else t for t, x in zip(texts, found, strict=True)], pa.string())}
             else:
                 cols = {f"n_{k}": pa.array([sum(s[2] == k for s in x) for x, _ in found], pa.int64()) for k in KINDS[:3]}
                 cols |= {"base_sha256": pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x, _ in found], pa.string()), "spans": pa.array([joined(x) for _, x in found], pa.string())}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).cast(pa.int64()), **cols})
-
-    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>, redacted string" if outputs == "spans" else "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, **cols})
+
+    own = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col), *(extra or []))
+    schema = {
+        "spans": "doc_id long, spans array<struct<kind:string,start:long,end:long>>, redacted string",
+        "digests": "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string",
+        "redacted": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema),
+    }
+    return own.mapInArrow(run, schema[outputs])
