@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, list[str]] = {}
+tables: list[str] = []  # bucketed ones, in the warehouse
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +40,23 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Store df once as a table with buckets by key: later joins and aggregations on the key need no shuffle of it."""
+    spark = df.sparkSession
+    n, name = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2), f"florilege_{label}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
+    tables.append(name)
+    return spark.table(name)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    while tables:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()}")
+
+
 def release(spark: SparkSession) -> None:
-    """Delete every table that materialise() wrote in this application; results built on them can't be read any more."""
+    """Delete every table that the operators wrote in this application; results built on them can't be read any more."""
+    drop_tables(spark)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _written.pop(spark.sparkContext.applicationId, []):
         p = jvm.org.apache.hadoop.fs.Path(path)

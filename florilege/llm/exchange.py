@@ -19,19 +19,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes
+from .common import input_bytes, tables
 
 SHARD_BYTES = 16 << 20
 RANGE_BYTES = 24 << 20  # of input for each key range
 NO_ID = np.iinfo(np.int64).max  # stands for a null id
 BLOB = "kind int, shard long, part long, blob binary"
 
-_tables: list[str] = []
-
-
 def packed(*arrays: np.ndarray) -> bytes:
     """Arrays, bytes of equal weight together, compressed; what unpacked() gives back."""
     head, body = [], []
@@ -136,7 +133,7 @@ def shard_table(docs: DataFrame, label: str, shard_bytes: int = SHARD_BYTES) ->
     name = f"florilege_{label}_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
     docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "shard long, docs binary").write.format("parquet").option("compression", "none").bucketBy(buckets, "shard").saveAsTable(name)
-    _tables.append(name)
+    tables.append(name)
     return spark.table(name)
 
 
@@ -149,11 +146,6 @@ def shard_docs(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return ids, [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
 
 
-def drop_tables(spark: SparkSession) -> None:
-    while _tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-
-
 def ask(shards: DataFrame, answers: DataFrame | None, question) -> DataFrame:
     """Rows of BLOB from each shard; question(shard, ids, texts, answers) yields them. answers: {kind: {part: blob}}."""
     if answers is None:

@@ -7,8 +7,10 @@ wherever it starts. A chunk of at least two lines, of which one is not blank,
 that occurs more than once keeps its first place (smallest id, then position) and
 is removed elsewhere, after its bytes have been compared with the first's.
 
-Hashes are counted first, with partial sums; only the chunks whose hash repeats
-carry their text through a shuffle.
+Chunks are counted by their md5, with partial sums. The texts of the first places
+alone then go to the places that repeat them, and are compared there when the
+document is cut. Both joins need the documents by their id: they are
+stored once in buckets of it, so that texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bucketed, materialise
+
 WINDOW, DIVISOR, MODULUS, BASE = 3, 4, 1_000_003, 31
 
 
@@ -33,39 +37,31 @@ def _ends(hashes: Column) -> Column:
     return F.filter(places, lambda i: (i == n - 1) | (rolled(i) == 0))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, chunk (its lines, joined), n_lines of every chunk of docs (doc_id, text). Null texts have none."""
-    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", "\n", -1).alias("lines"))
-    cut = lines.withColumn("ends", _ends(_line_hashes(F.col("lines"))))
-    place = F.transform("ends", lambda e, i: F.struct(i.alias("pos"), F.when(i == 0, F.lit(0)).otherwise(F.get("ends", i - 1) + 1).alias("start"), (e + 1).alias("stop")))
-    each = cut.select("doc_id", "lines", F.explode(place).alias("c"))
-    n = F.col("c.stop") - F.col("c.start")
-    return each.select("doc_id", F.col("c.pos").alias("pos"), F.array_join(F.slice("lines", F.col("c.start") + 1, n), "\n").alias("chunk"), n.alias("n_lines"))
-
-
-def _whole(pos_removed: Column, lines: Column, ends: Column) -> Column:
-    """The lines outside the removed chunks, joined again."""
-    kept = F.filter(F.transform(ends, lambda e, i: F.struct(i.alias("pos"), F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + 1).alias("start"), (e + 1).alias("stop"))), lambda c: ~F.array_contains(pos_removed, c["pos"]))
-    return F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(lines, c["start"] + 1, c["stop"] - c["start"]))), "\n")
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, pos of every chunk to remove."""
-    own = chunks(docs).filter((F.col("n_lines") >= 2) & (F.trim(F.translate("chunk", "\n\r\t", "   ")) != ""))
-    keyed = own.withColumn("h", F.xxhash64("chunk"))
-    place = F.struct("doc_id", "pos")
-    # Sums of a hash's places go through the shuffle, no texts; a chunk that stands in one place is done.
-    many = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
-    again = keyed.join(many, "h")
-    heads = again.filter((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))).select("h", F.col("chunk").alias("head")).dropDuplicates(["h"])
-    rest = again.filter(~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
-    compared = rest.join(heads, "h")
-    same = compared.filter(F.col("chunk") == F.col("head")).select("doc_id", "pos")
-    # Another text with the first's hash: its own first place is kept, by its bytes.
-    other = compared.filter(F.col("chunk") != F.col("head"))
-    first_other = other.groupBy("chunk").agg(F.min(place).alias("own_first"))
-    more = other.join(first_other, "chunk").filter(F.struct("doc_id", "pos") != F.col("own_first")).select("doc_id", "pos")
-    return same.unionByName(more)
+def _cut(docs: DataFrame) -> DataFrame:
+    """docs with the arrays _lines, _hashes and _ends. Each is a column of its own: functions of arrays see computed values, not expressions to evaluate for every element."""
+    lined = docs.withColumn("_lines", F.split("text", "\n", -1))
+    return lined.withColumn("_hashes", _line_hashes(F.col("_lines"))).withColumn("_ends", _ends(F.col("_hashes")))
+
+
+def _places(ends: Column) -> Column:
+    """pos, start and stop (lines, from 0) of each chunk."""
+    return F.transform(ends, lambda e, i: F.struct(i.alias("pos"), F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1) + 1).alias("start"), (e + 1).alias("stop")))
+
+
+def _chunk(c: Column) -> Column:
+    return F.array_join(F.slice("_lines", c["start"] + 1, c["stop"] - c["start"]), "\n")
+
+
+def _blank(text: Column) -> Column:
+    return F.trim(F.translate(text, "\n\r\t", "   ")) == ""
+
+
+def chunk_hashes(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, h of every chunk of at least two lines, not all blank, of docs (doc_id, text). Null texts have none."""
+    placed = _cut(docs.filter(F.col("text").isNotNull())).withColumn("_c", F.filter(_places(F.col("_ends")), lambda c: c["stop"] - c["start"] >= 2))
+    # Hashed in the array: exploding copies no text.
+    hashed = F.transform("_c", lambda c: F.struct(c["pos"].alias("pos"), F.when(~_blank(_chunk(c)), F.md5(_chunk(c))).alias("h")))
+    return placed.select("doc_id", F.explode(hashed).alias("c")).select("doc_id", "c.pos", "c.h").filter("h IS NOT NULL")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -73,17 +69,29 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     docs needs doc_id and text. A null text stays null, with 0 lines; an empty text
     has one line. Rows that share a doc_id are cut alike: positions removed from one
-    are removed from the others.
+    are removed from the others where the bytes agree. Rows with a null doc_id stay
+    as they are.
     """
-    gone = repeated(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
-    lines, ends, removed = F.split("text", "\n", -1), F.col("_ends"), F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    joined = docs.join(gone, "doc_id", "left")
-    cut = joined.withColumn("_ends", F.when(F.col("_gone").isNotNull(), _ends(_line_hashes(lines))))
-    new = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(_whole(removed, lines, ends))
-    out = cut.withColumn("_new", new).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-    left = F.when(F.col("_new").isNull(), 0).when(F.col("_gone").isNotNull() & (F.size(removed) >= F.size(ends)), 0).otherwise(F.size(F.split("_new", "\n", -1)))
-    out = out.withColumn("n_removed", F.col("n_lines") - left).withColumn("text", F.col("_new"))
-    return out.select(*docs.columns, F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"))
+    docs = bucketed(docs, "doc_id", "lines")
+    keyed = materialise(chunk_hashes(docs.select("doc_id", "text")).filter("doc_id IS NOT NULL"), "chunks")
+    many = materialise(keyed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("n > 1"), "repeated")
+    # The first places' texts.
+    places = many.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "h")).alias("_at"))
+    held = _cut(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(places, "doc_id")).withColumn("_c", _places(F.col("_ends")))
+    found = F.filter(F.transform("_at", lambda a: F.struct(a["h"].alias("h"), _chunk(F.get("_c", a["pos"])).alias("head"))), lambda x: x["head"].isNotNull())
+    heads = held.select(F.explode(found).alias("x")).select("x.*").dropDuplicates(["h"])
+    # Every other place gets the text that it is said to repeat.
+    rest = keyed.join(many, "h").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    gone = rest.select("h", "doc_id", "pos").join(heads, "h").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("pos", "head"))).alias("_gone"))
+    joined = docs.join(gone, "doc_id", "left").withColumn("_hit", F.col("_gone").isNotNull() & F.col("text").isNotNull())
+    cut = joined.withColumn("_lines", F.split("text", "\n", -1))
+    cut = cut.withColumn("_hashes", F.when(F.col("_hit"), _line_hashes(F.col("_lines")))).withColumn("_ends", F.when(F.col("_hit"), _ends(F.col("_hashes"))))
+    cut = cut.withColumn("_c", _places(F.col("_ends"))).withColumn("_kept", F.filter("_c", lambda c: F.coalesce(F.try_element_at("_gone", c["pos"]) != _chunk(c), F.lit(True))))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
+    left = F.when(F.col("_hit"), F.aggregate("_kept", F.lit(0), lambda s, c: s + c["stop"] - c["start"])).otherwise(n)
+    new = F.when(F.col("_hit"), F.array_join(F.flatten(F.transform("_kept", lambda c: F.slice("_lines", c["start"] + 1, c["stop"] - c["start"]))), "\n")).otherwise(F.col("text"))
+    out = cut.withColumn("n_lines", n.cast("long")).withColumn("n_removed", (n - left).cast("long")).withColumn("text", new)
+    return out.select(*docs.columns, "n_lines", "n_removed")
 
 
 ORACLE = f"""
