@@ -1,15 +1,386 @@
-"""All queries of the engine by name, each a plan over the tables of one folder, with the same result in SQL."""
+"""All queries of the engine by name, each a plan over the whole tables of one folder, with the same result in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import rules
+from ..functions import text as T
+from ..functions.config import DEFAULT_LABELS, parse_labels
+from ..operators import annotations, layout, mmr, sentences
+from ..operators.builder import sentences_from_words
+from ..operators.summaries import chunks_by_tokens, map_budget, summarise
+from ..sources import pages
+from . import oracle
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+LABELS = ("[method]", "[result]", "[goal]")
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_table(_docs(spark, sf_dir))
+
+
+def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.body(_sentences(spark, sf_dir))
+
+
+def _r(c: Column | str, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+def _vectors(body: DataFrame) -> tuple[DataFrame, DataFrame]:
+    tf = sentences.term_frequency(body)
+    return tf, sentences.tfidf(tf, sentences.vocabulary(tf, body))
+
+
+# ---- text ----
+
+
+@query
+def normalize_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
+
+
+@query
+def tokenize(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(T.tokens(T.normalize_text(F.col("text"))), " ").alias("tokens"))
+
+
+@query
+def sentence_split(spark, d):
+    return _sentences(spark, d).select("doc_id", F.col("order").alias("sentence_no"), "text")
+
+
+@query
+def detect_heading(spark, d):
+    return _lines(spark, d).select("doc_id", "line_no", T.heading(F.col("text")).alias("heading"))
+
+
+@query
+def section_carry_forward(spark, d):
+    # The corpus has no headings: a line of few words stands in for one.
+    lines = _lines(spark, d).withColumn("text", F.when(F.length("text") % 7 == 0, F.concat(F.lit("2.1 Results And Table "), F.length("text").cast("string"))).otherwise(F.col("text")))
+    return sentences.section_carry_forward(lines).select("doc_id", "line_no", "section")
+
+
+@query
+def reference_entry(spark, d):
+    s = _sentences(spark, d)
+    f = rules.reference_features(T.normalize_text(F.col("text")))
+    return s.select("doc_id", F.col("order").alias("sentence_no"), *(c.alias(f"has_{k}") for k, c in f.items() if k != "author"), rules.is_reference_entry(F.col("text")).alias("is_entry"))
+
+
+@query
+def noise_reason(spark, d):
+    return _sentences(spark, d).select("doc_id", F.col("order").alias("sentence_no"), rules.noise_reason(F.col("text")).alias("reason"))
+
+
+@query
+def front_back_matter_lines(spark, d):
+    t = F.col("text")
+    return _lines(spark, d).select("doc_id", "line_no", rules.is_front_matter_line(t, F.lit(0)).alias("front"), rules.is_back_matter_line(t).alias("back"), rules.is_table_caption(t).alias("caption"))
+
+
+@query
+def token_estimate(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query
+def chunk_by_sentences(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(T.chunks_by_sentences(F.col("text"), 10)).alias("chunk_no", "chunk"))
+
+
+@query
+def chunk_by_tokens(spark, d):
+    return chunks_by_tokens(_docs(spark, d), map_budget(4096)["input"])
+
+
+@query
+def map_budget_windows(spark, d):
+    n = F.col("n_chars")
+    reserve = F.greatest(F.lit(128), F.least(F.lit(512), F.floor(n / 2)))
+    out = table(spark, d, "documents").select("doc_id", n, reserve.alias("reserve"))
+    return out.select("doc_id", "reserve", F.greatest(F.lit(1), n - F.col("reserve")).alias("input"), F.greatest(F.lit(32), F.least(F.lit(400), F.col("reserve") - 80)).alias("output"))
+
+
+@query
+def labeled_summary_parse(spark, d):
+    conv = table(spark, d, "conversations")
+    label = F.element_at(F.array(*(F.lit(x) for x in (*LABELS, "[other]"))), (F.col("turn") % 4 + 1).cast("int"))
+    summary = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), label, F.lit(" "), F.regexp_replace("text", r"[\[\]]", ""), F.lit("\n9) [result] Done."))
+    return conv.select("conv_id", "turn", F.posexplode(T.labelled_entries(summary, list(LABELS))).alias("pos", "e")).select("conv_id", "turn", "pos", "e.label", "e.sentence")
+
+
+@query
+def paper_text(spark, d):
+    return sentences.paper_text(_body(spark, d)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+# ---- features ----
+
+
+@query
+def term_frequency(spark, d):
+    return sentences.term_frequency(_body(spark, d)).select("doc_id", F.col("order").alias("sentence_no"), "term", "tf")
+
+
+@query
+def document_frequency(spark, d):
+    return sentences.document_frequency(sentences.term_frequency(_body(spark, d))).select("doc_id", "term", "df")
+
+
+@query
+def vocab_topk(spark, d):
+    body = _body(spark, d)
+    return sentences.vocabulary(sentences.term_frequency(body), body).select("doc_id", "term", "df", "n", "rank")
+
+
+@query
+def tfidf(spark, d):
+    return _vectors(_body(spark, d))[1].select("doc_id", F.col("order").alias("sentence_no"), "term", _r("value").alias("value"))
+
+
+@query
+def sparse_norms(spark, d):
+    return sentences.norms(_vectors(_body(spark, d))[1]).select("doc_id", F.col("order").alias("sentence_no"), _r("norm").alias("norm"))
+
+
+@query
+def sparse_cosine_pairs(spark, d):
+    pairs = sentences.sparse_cosine(_vectors(_body(spark, d))[1])
+    return pairs.groupBy("doc_id", F.col("a").alias("sentence_no")).agg(F.count("*").alias("n_pairs"), _r(F.max("cosine")).alias("most"), _r(F.sum("cosine"), 4).alias("total"))
+
+
+@query
+def centroid(spark, d):
+    body = _body(spark, d)
+    return sentences.centroid(_vectors(body)[1], body).select("doc_id", "term", _r("value").alias("value"))
+
+
+# ---- scores and rankings ----
+
+
+@query
+def length_score(spark, d):
+    return _body(spark, d).select("doc_id", F.col("order").alias("sentence_no"), _r(sentences.length_score(F.col("text"))).alias("score"))
+
+
+@query
+def minmax_importance(spark, d):
+    return sentences.importance(_body(spark, d)).select("doc_id", F.col("order").alias("sentence_no"), _r("importance").alias("importance"))
+
+
+@query
+def annotation_target(spark, d):
+    n = _body(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"))
+    k = sentences.annotation_target(F.col("n"))
+    target = sentences.summary_target(k, "annotate")
+    return n.select("doc_id", "n", k.alias("k"), target.alias("summary_sentences"), sentences.output_tokens(target).alias("output_tokens"))
+
+
+@query
+def baseline_topk(spark, d):
+    # Ranked by a rounded value, so that engines agree on ties.
+    scored = sentences.importance(_body(spark, d)).withColumn("importance", F.round("importance", 9))
+    return sentences.top_sentences(scored).select("doc_id", F.col("order").alias("sentence_no"), "rank", _r("importance").alias("importance"), "text")
+
+
+@query
+def shortlist(spark, d):
+    scored = sentences.importance(_body(spark, d)).withColumn("importance", F.round("importance", 9))
+    return sentences.shortlist(scored).select("doc_id", F.col("order").alias("sentence_no"), "rank")
+
+
+def _mmr_input(spark, d):
+    body = sentences.importance(_body(spark, d)).persist()
+    return body, _vectors(body)[1].persist()
+
+
+@query
+def mmr_k3(spark, d):
+    body, vectors = _mmr_input(spark, d)
+    return mmr.select_table(body, vectors, 3).select("doc_id", F.col("order").alias("sentence_no"), "pick")
+
+
+@query
+def mmr_k2_joins(spark, d):
+    body, vectors = _mmr_input(spark, d)
+    return mmr.select_unrolled(body, vectors, 2).select("doc_id", F.col("order").alias("sentence_no"), "pick")
+
+
+@query
+def mmr_full(spark, d):
+    body, vectors = _mmr_input(spark, d)
+    w = Window.partitionBy("doc_id")
+    scored = body.withColumn("k", sentences.annotation_target(F.count("*").over(w)))
+    return mmr.select_table(scored, vectors, F.col("k")).select("doc_id", F.col("order").alias("sentence_no"), "pick")
+
+
+@query
+def similarity_matrix_stats(spark, d):
+    vec = table(spark, d, "embeddings")
+    first = vec.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    protos = vec.join(F.broadcast(first.select("vec_id")), "vec_id").select(F.col("label").alias("proto"), F.col("embedding").alias("p"))
+    pairs = vec.join(F.broadcast(protos)).select(F.col("label").cast("long").alias("doc_id"), sentences.dense_cosine(F.col("embedding"), F.col("p")).alias("similarity"))
+    return sentences.matrix_stats(pairs).select("doc_id", _r("deviation").alias("deviation"), _r("penalty").alias("penalty"))
+
+
+@query
+def nearest_label(spark, d):
+    vec = table(spark, d, "embeddings")
+    first = vec.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    protos = vec.join(F.broadcast(first.select("vec_id")), "vec_id").select(F.col("label").alias("pos"), "label", F.col("embedding").alias("vector"))
+    return sentences.nearest_label(vec, protos).select("id", "label", _r("score").alias("score"))
+
+
+@query
+def dense_summary_similarity(spark, d):
+    # One summary vector for each label: the mean of its members.
+    vec = table(spark, d, "embeddings")
+    mean = vec.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("label", F.col("v.x").alias("summary"))
+    return vec.join(F.broadcast(mean), "label").select("vec_id", _r(sentences.dense_cosine(F.col("embedding"), F.col("summary"))).alias("similarity"))
+
+
+# ---- layout ----
+
+
+@query
+def fragment_split(spark, d):
+    f = _lines(spark, d).select("doc_id", F.lit(0).alias("page_index"), F.col("line_no").alias("frag"), "text", F.lit(36.0).alias("x1"), F.lit(0.0).alias("y1"), (F.lit(36.0) + 6 * F.length("text")).alias("x2"), F.lit(10.0).alias("y2"))
+    return layout.split_fragments(f).select("doc_id", F.col("frag").alias("line_no"), "pos", "word", _r("left", 4).alias("x_left"), _r("right", 4).alias("x_right"))
+
+
+def _page_words(spark, d):
+    return pages.words_from_text(_docs(spark, d), per_page=12)
+
+
+@query
+def layout_words(spark, d):
+    return _page_words(spark, d).select("doc_id", "page_index", "word_pos", "text", "x1", "y1", "x2", "y2")
+
+
+@query
+def margin_signature_filter(spark, d):
+    # Twelve lines to a page, and the page cut to their height: first and last lines are margins.
+    words = _page_words(spark, d).withColumnRenamed("text", "word").withColumns({"y1": F.col("y1") - 638.0, "y2": F.col("y2") - 638.0}).drop("height")
+    sized = words.select("doc_id", "page_index").distinct().withColumn("height", F.lit(142.0))
+    out = layout.margin_words(words, sized)
+    return out.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.count_if("near_margin").alias("n_margin"), F.count_if("repeated").alias("n_repeated"))
+
+
+@query
+def reading_order_bands(spark, d):
+    n = F.length("text")
+    left = (n * 7 % 400 + 36).cast("double")
+    lines = _lines(spark, d).select("doc_id", F.floor(F.col("line_no") / 40).cast("int").alias("page_index"), F.col("line_no").alias("line"), (F.lit(780.0) - F.col("line_no") % 40 * 12).alias("cy"), left.alias("left"), (left + n % 300).alias("right"), F.lit(612.0).alias("width"))
+    return layout.reading_order(lines).select("doc_id", "page_index", "line", "place")
+
+
+@query
+def table_line_profile(spark, d):
+    w = _page_words(spark, d).withColumn("line_no", F.floor(F.col("word_pos") / 100_000))
+    x2 = F.col("x2") - F.when(F.length("text") % 4 == 0, 20.0).otherwise(0.0)
+    rows = w.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_pos", F.col("text").alias("text"), F.col("x1").alias("x1"), x2.alias("x2")))).alias("w"))
+    p = layout.table_profile(F.array_join("w.text", " "), F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["x1"].alias("x1"), x["x2"].alias("x2"))), F.lit(10.0), F.lit(612.0))
+    return rows.select("doc_id", "line_no", p.alias("p")).select("doc_id", "line_no", "p.cell_count", _r("p.numeric_ratio").alias("numeric_ratio"), _r("p.short_ratio").alias("short_ratio"), "p.sentence_like", "p.token_count", "p.table_like")
+
+
+@query
+def span_overlap_join(spark, d):
+    normal = _docs(spark, d).select("doc_id", T.normalize_text(F.col("text")).alias("t"))
+    windows = normal.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 200).cast("int"))).alias("order")).withColumns({"start": F.col("order") * 200, "stop": F.col("order") * 200 + 200})
+    parts = F.split("t", " ", -1)
+    ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.array_append(s["ends"], s["at"] + F.length(w)).alias("ends")))["ends"]
+    spans = normal.select("doc_id", parts.alias("w"), ends.alias("e")).select("doc_id", F.explode(F.arrays_zip("w", "e")).alias("x")).select("doc_id", F.col("x.e").alias("w_stop"), (F.col("x.e") - F.length("x.w")).alias("w_start"))
+    return layout.span_overlap(windows, spans).groupBy("doc_id", F.col("order").alias("window_no")).agg(F.count("*").alias("n_words"))
+
+
+@query
+def layout_sentences(spark, d):
+    return sentences_from_words(pages.words_from_text(_docs(spark, d))).select("doc_id", F.col("order").alias("sentence_no"), "text", "page_index", "section", "front_matter")
+
+
+# ---- sources and sinks ----
+
+
+@query
+def first_pdf_per_item(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_id"), (F.col("o_orderkey") % 5 == 0).alias("is_attachment"), (F.col("o_orderkey") % 2 == 0).alias("is_pdf"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("attachment_id"), F.col("l_linenumber").alias("pos"), (F.col("l_quantity") > 20).alias("is_pdf"))
+    return pages.first_pdf(o, li)
+
+
+@query
+def document_title(spark, d):
+    docs = table(spark, d, "documents")
+    att = docs.select(F.col("doc_id").alias("attachment_id"), (F.col("doc_id") % 40).alias("parent_id"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.col("source")).alias("filename"))
+    parents = table(spark, d, "benchmark").select(F.col("item_id").alias("item_id"), F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 20)).alias("title"))
+    return pages.document_title(att, parents)
+
+
+def _annotations(spark, d):
+    tag = lambda c: F.struct(c.alias("name"))
+    kinds = F.when(F.col("quality") == 1, F.lit(annotations.AUTO_TAG)).when(F.col("toxic") == 1, F.lit("autoskim-result")).otherwise(F.lit("mine"))
+    return table(spark, d, "labels").select("doc_id", F.array(tag(F.lit("x")), tag(kinds)).alias("tags"))
+
+
+@query
+def existing_annotation_anti(spark, d):
+    return annotations.without_annotated(_docs(spark, d).select("doc_id"), _annotations(spark, d))
+
+
+@query
+def delete_auto_annotations(spark, d):
+    return annotations.without_auto(_annotations(spark, d)).select("doc_id", F.array_join("tags.name", ",").alias("tags"))
+
+
+@query
+def sort_index(spark, d):
+    w = pages.words_from_text(_docs(spark, d))
+    return w.select("doc_id", "word_pos", T.sort_index(F.col("page_index"), F.col("height"), F.col("top"), F.col("x1")).alias("sort_index"))
+
+
+@query
+def annotation_records(spark, d):
+    picks = sentences.top_sentences(sentences.importance(_body(spark, d)).withColumn("importance", F.round("importance", 9)))
+    n = F.length("text")
+    picks = picks.withColumns({"page_height": F.lit(792.0), "rects": F.array(F.array(F.lit(36.0), F.lit(700.0), F.lit(36.0) + n, F.lit(710.0))), "tag": F.when(n % 3 == 0, "result").when(n % 3 == 1, ""), "tag_description": F.lit("Found"), "tag_color": F.when(n % 2 == 0, "#12ab9f").otherwise("bad")})
+    out = annotations.annotation_records(picks, parse_labels(DEFAULT_LABELS))
+    return out.select("doc_id", "text", "color", "page_label", "sort_index", F.array_join("tags.name", ",").alias("tags"))
+
+
+@query
+def summary_map_reduce(spark, d):
+    return summarise(_docs(spark, d), 3, map_reduce=True)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
