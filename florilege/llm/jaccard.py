@@ -10,12 +10,12 @@ signatures come first: two sets in the threshold differ in at most d shingles, d
 known from their sizes; of more than d hash groups at least one is then equal in
 both. Blocks of one signature hold, in effect, near copies alone.
 
-In each block, one member is the hub and all others are compared with it: first by
-the bound, then exactly. Where all members of a block fall into one component,
-nothing more can be learnt. In the others, the R-tree of the block's points is
-searched for pairs across components, of any size, tile by tile, and survivors are
-verified too. So no link between components is lost, and no group's pairs are all
-emitted.
+Of each signature's members the first is compared with all others: by the bound,
+then exactly. Where all members fall into one component, nothing more can be
+learnt. The others' signatures are joined into blocks, and each block's R-tree is
+searched for pairs across components, of any size, tile by tile; survivors are
+verified in the tile, and one link for two components leaves it. So no link between
+components is lost, and no group's pairs are emitted.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .components import components
 from .exchange import BLOB, answer, blob_batches, blobs, packed, ranges_for, unpacked, unpacked_keys
 
 DIMS = 16
-TILE = 4096
+TILE, MOST = 512, 8192  # members of a tile: of blocks of up to 16 tiles, of larger ones
 LEAF = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -277,21 +277,54 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int,
     return with_texts.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean").filter("ok").select("a", "b")
 
 
-def _search_tiles(percent: int):
-    """Pairs across components in a tile, or between two tiles, of one signature's members."""
+def _tile_links(words: int, percent: int):
+    """Links between components in a tile, or between two tiles, of a block's members: one for each two components that meet.
+
+    The R-tree of the one tile is searched for each member of the other. What survives the
+    bound is verified exactly: sets are held as their differences from the member nearest to
+    the mean point, which are short where all are copies of one text, and an index of these
+    differences gives the size of any two members' difference.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         ids, label, tile = (t[c].to_numpy() for c in ("id", "label", "tile"))
-        points = np.array(t["counts"].to_pylist(), np.int32).reshape(-1, DIMS)
+        sets = [shingles(x.as_buffer().to_pybytes(), words) for x in t["text"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        points = np.array([counts_of(s) for s in sets]).reshape(-1, DIMS)
+        hub = sets[int(np.abs(points - points.mean(0)).sum(1).argmin())]
+        parts = [np.setxor1d(s, hub, assume_unique=True) for s in sets]
+        part = np.array([len(x) for x in parts], np.int64)
         low, high = t["t1"][0].as_py(), t["t2"][0].as_py()
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-        tree, out = RTree(points[left]), []
+        tree = RTree(points[left])
+        held = np.concatenate([parts[i] for i in left])
+        owner = np.repeat(np.arange(len(left)), part[left])
+        order = np.argsort(held, kind="stable")
+        owner, (values, first) = owner[order], np.unique(held[order], return_index=True)
+        last = np.append(first[1:], len(held))
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                x = y
+            return x
+
+        out = []
         for j in right.tolist():
-            i = left[tree.search(points[j], percent)]
-            i = i[(label[i] != label[j]) & ((ids[i] < ids[j]) | (low != high))]
-            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
-        ab = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(ab[:, 0], pa.int64()), "b": pa.array(ab[:, 1], pa.int64())})
+            i = tree.search(points[j], percent)
+            i = i[label[left[i]] != label[j]]
+            if not len(i):
+                continue
+            at = np.searchsorted(values, parts[j])
+            at = at[at < len(values)][values[at[at < len(values)]] == parts[j][at < len(values)]]
+            both = np.bincount(np.concatenate([owner[first[k] : last[k]] for k in at.tolist()]), minlength=len(left))[i] if len(at) else np.zeros(len(i), np.int64)
+            differ, total = part[j] + part[left[i]] - 2 * both, size[j] + size[left[i]]
+            for k in left[i[(100 * (total - differ) >= percent * (total + differ)) & (total > differ)]].tolist():
+                x, y = root(int(label[j])), root(int(label[k]))
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    out.append((min(ids[j], ids[k]), max(ids[j], ids[k])))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
     return run
 
@@ -322,15 +355,16 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     if not split.isEmpty():
         rows = _star_rows(stars, "rows")
         open_sigs = rows.join(split, ["a", "b"], "left_semi").select("sig").distinct()
-        members = rows.join(open_sigs, "sig", "left_semi").select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
-        # A pair of members alone has been compared already.
-        large = members.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 2").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
-        held = members.join(large, "sig").join(of("id"), "id", "left").withColumn("label", F.coalesce("lid", "id"))
-        held = held.join(points.select(F.col("doc_id").alias("id"), "counts"), "id").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        spread = held.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
-        across = spread.select("sig", "t1", "t2", "tile", "id", "label", "counts").groupBy("sig", "t1", "t2").applyInArrow(_search_tiles(percent), "a long, b long").distinct()
-        across = across.join(pairs, ["a", "b"], "left_anti")
-        more = materialise(_verified(across, docs, points, words, percent), "links")
+        # Signatures that share members make one block, so that each member's text goes to it once.
+        block = components(rows.join(open_sigs, "sig", "left_semi").select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("block"))
+        block = materialise(block.join(of("id"), "id", "left").select("id", "block", F.coalesce("lid", "id").alias("label")), "blocks")
+        tiled = block.groupBy("block").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 2 AND l0 <> l1")
+        tiled = tiled.select("block", F.greatest(F.least(F.ceil(F.col("n") / TILE), F.lit(16)), F.ceil(F.col("n") / MOST)).cast("int").alias("tiles"))
+        held = block.join(tiled, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        texts = docs.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id").join(held, "id").dropDuplicates(["id"])
+        spread = texts.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
+        more = spread.select("block", "t1", "t2", "tile", "id", "label", "text").groupBy("block", "t1", "t2").applyInArrow(_tile_links(words, percent), "a long, b long")
+        more = materialise(more, "links")
         if not more.isEmpty():
             label = materialise(components(links.unionByName(more)), "labels")
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
