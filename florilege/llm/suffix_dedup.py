@@ -36,6 +36,7 @@ from .common import materialise
 from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish, packed, ranges_for, shard_table, unpacked, unpacked_keys
 
 LENGTH, GRAM, MASK, MOST = 50, 16, 127, 64
+SORTED = 300_000  # windows sorted at once, or one key's
 CHUNK, KEY, SEGMENT = range(3)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -47,7 +48,7 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     h, b, n = _BYTES[buf], _BASE, 1
     while n < GRAM:
         h = h[:-n] * b + h[n:]
-        b, n = b * b, 2 * n
+        b, n = _U(int(b) ** 2 & 0xFFFFFFFFFFFFFFFF), 2 * n
     h ^= h >> _U(31)
     h *= _U(0xD6E8FEB86659FD93)
     return h ^ (h >> _U(29))
@@ -261,45 +262,51 @@ def repeated_windows(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, texts: li
     key = np.array([k for k, _ in names], _U)
     order = np.argsort(key, kind="stable")
     _, back, many = np.unique(key, return_inverse=True, return_counts=True)
-    rows = [i for i in order.tolist() if many[back[i]] > 1]
-    if not rows:
-        return mask
-    size = np.array([len(names[i][1]) for i in rows])
-    base = np.cumsum(size) - size
-    windows = size - LENGTH + 1
-    row = np.repeat(np.arange(len(rows)), windows)
+    rows = np.array([i for i in order.tolist() if many[back[i]] > 1], np.int64)
+    hidden = np.zeros(len(names), _U)
+    if len(rows):
+        # Some keys at a time: what the sort holds is bounded, but for a single key.
+        windows = np.array([len(names[i][1]) for i in rows]) - LENGTH + 1
+        ends = np.flatnonzero(np.append(key[rows[1:]] != key[rows[:-1]], True)) + 1
+        done, total = 0, np.cumsum(windows)
+        for end in ends.tolist():
+            if end == len(rows) or total[end - 1] - (total[done - 1] if done else 0) >= SORTED:
+                own = rows[done:end]
+                _sorted_repeats(key[own], lowest[own], [names[i][1] for i in own], own, hidden)
+                done = end
+    return mask | hidden[which]
+
+
+def _sorted_repeats(keys: np.ndarray, lowest: np.ndarray, texts: list[bytes], rows: np.ndarray, hidden: np.ndarray) -> None:
+    """Sort the suffixes of some keys' distinct segments; note in `hidden`, at the segments' rows, the windows that a smaller id has."""
+    size = np.array([len(t) for t in texts])
+    base, windows = np.cumsum(size) - size, size - LENGTH + 1
+    row = np.repeat(np.arange(len(texts)), windows)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    s = Suffixes(b"".join([names[i][1] for i in rows]))
+    s = Suffixes(b"".join(texts))
     at = base[row] + offset
     lead = np.zeros(len(at), _U)
     for i in range(8):
         lead = lead << _U(8) | s.buf[at + i].astype(_U)
-    k = key[np.array(rows)][row]
+    k = keys[row]
     pre = np.lexsort((lead, k))
-    at, row, offset, k, lead = at[pre], row[pre], offset[pre], k[pre], lead[pre]
+    at, row, k, lead = at[pre], row[pre], k[pre], lead[pre]
     group = np.cumsum(np.concatenate([[False], (k[1:] != k[:-1]) | (lead[1:] != lead[:-1])]))
     # The sort moves places alone; what a place belongs to is looked up by it.
     owner = np.zeros(len(s.buf), np.int64)
     owner[at] = row
     at = s.sort(at, group)
     row = owner[at]
-    offset = at - base[row]
     same = np.zeros(len(at), bool)
     near = np.flatnonzero(group[1:] == group[:-1]) + 1
     near = near[s.common(at[near - 1], at[near]) == LENGTH]
     # Equal hashes are verified byte by byte.
     for i in range(0, len(near), 65_536):
-        j = near[i : i + 65_536]
-        span = np.arange(LENGTH)
+        j, span = near[i : i + 65_536], np.arange(LENGTH)
         same[j] = (s.buf[at[j - 1][:, None] + span] == s.buf[at[j][:, None] + span]).all(1)
-    first = np.flatnonzero(~same)
-    run = np.cumsum(~same) - 1
-    who = lowest[np.array(rows)[row]]
-    least = np.minimum.reduceat(who, first)[run]
-    gone = least < who
-    hidden = np.zeros(len(names), _U)
-    np.bitwise_or.at(hidden, np.array(rows)[row[gone]], _U(1) << offset[gone].astype(_U))
-    return mask | hidden[which]
+    least = np.minimum.reduceat(lowest[row], np.flatnonzero(~same))[np.cumsum(~same) - 1]
+    gone = least < lowest[row]
+    np.bitwise_or.at(hidden, rows[row[gone]], _U(1) << (at[gone] - base[row[gone]]).astype(_U))
 
 
 def _segment_rows(shard: int, segments: list, docs: list[_Doc], parts: int):
