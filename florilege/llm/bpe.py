@@ -50,7 +50,8 @@ class ForcedBoundaryBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
+        library = Tokenizer.from_file(path)
+        self.normalise, self.split_any = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.odd = re.compile("[\x1c-\x1f]")
         self.units: dict[str, tuple[int, str, str]] = {}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
@@ -104,8 +105,11 @@ class ForcedBoundaryBPE:
     def encode_segment(self, text: str) -> list[int]:
         """Ids of a text without special tokens' strings."""
         ids: list[int] = []
-        for piece in self.split(self.normalise(text)):
-            for fragment, ends in self.fragments_of("".join(self.byte_char[b] for b in piece.encode())):
+        text = self.normalise(text)
+        # Beyond Latin letters, libraries differ in the version of Unicode that they know.
+        simple = text.isascii() or max(text) <= "\u024f"
+        for piece in ["".join([self.byte_char[b] for b in p.encode()]) for p in self.split(text)] if simple else [p for p, _ in self.split_any(text)]:
+            for fragment, ends in self.fragments_of(piece):
                 ids += self.encode_fragment(fragment, ends)
         return ids
 

@@ -33,29 +33,30 @@ class UnitEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         chars = _byte_chars()
-        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i < len(spec["model"]["vocab"])}
+        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() }
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         for t in self.special:
             ranks.pop(t.encode(), None)
-        self.plain = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.latin = tiktoken.Encoding("units", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.library = None
 
     def whole(self, text: str) -> bytes:
-        if any(t in text for t in self.special):
-            if self.library is None:
-                from tokenizers import Tokenizer
+        """Ids of any text: special tokens' strings, and what lies beyond Latin letters, where versions of Unicode differ, go through the tokenizers library."""
+        if (text.isascii() or max(text) <= "\u024f") and not any(t in text for t in self.special):
+            return array.array("I", self.latin(text)).tobytes()
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-                self.library = Tokenizer.from_file(self.path)
-            return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return array.array("I", self.plain(text)).tobytes()
+            self.library = Tokenizer.from_file(self.path)
+        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str, cache: dict, blank: str) -> bytes | None:
         if len(cache) >= self.LIMIT:
             cache.clear()
         safe = unit and not unit[0].isspace() and not unit[-1].isspace() and not any(t in unit for t in self.special)
-        out = cache[unit] = array.array("I", self.plain(blank + unit)).tobytes() if safe else None
+        out = cache[unit] = self.whole(blank + unit) if safe else None
         return out
 
     def encode(self, text: str) -> bytes:

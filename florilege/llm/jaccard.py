@@ -296,6 +296,8 @@ def _tile_links(words: int, percent: int):
         part = np.array([len(x) for x in parts], np.int64)
         low, high = t["t1"][0].as_py(), t["t2"][0].as_py()
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         tree = RTree(points[left])
         held = np.concatenate([parts[i] for i in left])
         owner = np.repeat(np.arange(len(left)), part[left])
