@@ -64,6 +64,21 @@ def tfidf(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     return v.select("doc_id", "order", "term", ((1 + F.log(F.col("tf").cast("double"))) * idf).alias("value"))
 
 
+def vectors(sentences: DataFrame, most: int = 16_000, share: float = 0.96) -> DataFrame:
+    """tfidf() of term_frequency() and vocabulary() in one pass: documents are shuffled once, as sentences, and the rest are windows within them."""
+    doc = Window.partitionBy("doc_id")
+    counted = sentences.select("doc_id", "order", "text", F.count("*").over(doc).alias("n"))
+    words = counted.select("doc_id", "order", "n", text.tokens(text.normalize_text(F.col("text"))).alias("_w"))
+    each = words.select("doc_id", "order", "n", F.posexplode(text.terms(F.col("_w"))).alias("pos", "term"))
+    tf = each.groupBy("doc_id", "order", "n", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
+    term = Window.partitionBy("doc_id", "term")
+    framed = tf.withColumn("df", F.count("*").over(term)).withColumn("first", F.min(F.struct("order", "pos")).over(term)).filter(F.col("df") <= F.col("n") * F.lit(share))
+    # A term's first place is its own, so that all its rows share a rank.
+    kept = framed.withColumn("rank", F.dense_rank().over(doc.orderBy(F.desc("df"), "first"))).filter(F.col("rank") <= most)
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    return kept.select("doc_id", "order", "term", ((1 + F.log(F.col("tf").cast("double"))) * idf).alias("value"))
+
+
 def norms(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("doc_id", "order").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
 

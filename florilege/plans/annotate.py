@@ -50,9 +50,7 @@ class KeySentences:
                 parts = summary.select("doc_id", F.posexplode(T.sentences(T.normalize_text(F.col("text")))).alias("col", "text"))
                 many = embeddings(parts, self.embed).withColumn("_m", F.count("*").over(w)).filter("_m > 1").select("doc_id", "col", F.col("embedding").alias("_p"))
                 cover = vec.join(many, "doc_id").select("doc_id", "order", "col", sentences.dense_cosine(F.col("embedding"), F.col("_p")).alias("similarity"))
-        tf = sentences.term_frequency(body)
-        vectors = sentences.tfidf(tf, sentences.vocabulary(tf, body))
-        picks = mmr.select_table(scored, vectors, F.col("k"), self.scoring.selection, cover, self.mode)
+        picks = mmr.select_table(scored, sentences.vectors(body), F.col("k"), self.scoring.selection, cover, self.mode)
         out = scored.join(picks.select("doc_id", "order", "pick"), ["doc_id", "order"])
         return self._classified(out, summary, labels) if labels else out
 

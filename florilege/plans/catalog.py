@@ -50,11 +50,6 @@ def _r(c: Column | str, n: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
-def _vectors(body: DataFrame) -> tuple[DataFrame, DataFrame]:
-    tf = sentences.term_frequency(body)
-    return tf, sentences.tfidf(tf, sentences.vocabulary(tf, body))
-
-
 # ---- text ----
 
 
@@ -160,24 +155,24 @@ def vocab_topk(spark, d):
 
 @query
 def tfidf(spark, d):
-    return _vectors(_body(spark, d))[1].select("doc_id", F.col("order").alias("sentence_no"), "term", _r("value").alias("value"))
+    return sentences.vectors(_body(spark, d)).select("doc_id", F.col("order").alias("sentence_no"), "term", _r("value").alias("value"))
 
 
 @query
 def sparse_norms(spark, d):
-    return sentences.norms(_vectors(_body(spark, d))[1]).select("doc_id", F.col("order").alias("sentence_no"), _r("norm").alias("norm"))
+    return sentences.norms(sentences.vectors(_body(spark, d))).select("doc_id", F.col("order").alias("sentence_no"), _r("norm").alias("norm"))
 
 
 @query
 def sparse_cosine_pairs(spark, d):
-    pairs = sentences.sparse_cosine(_vectors(_body(spark, d))[1])
+    pairs = sentences.sparse_cosine(sentences.vectors(_body(spark, d)))
     return pairs.groupBy("doc_id", F.col("a").alias("sentence_no")).agg(F.count("*").alias("n_pairs"), _r(F.max("cosine")).alias("most"), _r(F.sum("cosine"), 4).alias("total"))
 
 
 @query
 def centroid(spark, d):
     body = _body(spark, d)
-    return sentences.centroid(_vectors(body)[1], body).select("doc_id", "term", _r("value").alias("value"))
+    return sentences.centroid(sentences.vectors(body), body).select("doc_id", "term", _r("value").alias("value"))
 
 
 # ---- scores and rankings ----
@@ -216,7 +211,7 @@ def shortlist(spark, d):
 
 def _mmr_input(spark, d):
     body = sentences.importance(_body(spark, d)).persist()
-    return body, _vectors(body)[1].persist()
+    return body, sentences.vectors(body).persist()
 
 
 @query
