@@ -22,7 +22,7 @@ from .bpe_units import _byte_chars
 class ForcedBoundaryBPE:
     """Encoder and decoder of a word-end BPE vocabulary file; ids equal the tokenizers library's."""
 
-    UNITS, FRAGMENTS = 300_000, 300_000  # kept by a worker
+    UNITS, PIECES, FRAGMENTS = 400_000, 300_000, 50_000  # kept by a worker
 
     def __init__(self, path: str):
         import re
@@ -54,6 +54,7 @@ class ForcedBoundaryBPE:
         self.normalise, self.split_any = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.odd = re.compile("[\x1c-\x1f]")
         self.units: dict[str, tuple[int, str, str]] = {}
+        self.pieces: dict[str, tuple[int, str, str]] = {}
         self.fragments: dict[tuple[str, bool], list[int]] = {}
 
     def fragments_of(self, word: str) -> list[tuple[str, bool]]:
@@ -82,9 +83,20 @@ class ForcedBoundaryBPE:
 
     def _merged(self, parts: list[str]) -> list[str]:
         """Apply the merges in order of rank, the leftmost first: a heap over a linked list, so long fragments stay cheap."""
-        if len(parts) < 2:
-            return parts
         ranks, n = self.ranks, len(parts)
+        if n <= 24:
+            # Words are short: look for the best pair again after each merge.
+            get, none = ranks.get, len(ranks)
+            while len(parts) > 1:
+                best, at, a = none, 0, parts[0]
+                for i, b in enumerate(parts[1:]):
+                    if (r := get((a, b), none)) < best:
+                        best, at = r, i
+                    a = b
+                if best == none:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            return parts
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
@@ -113,11 +125,34 @@ class ForcedBoundaryBPE:
                 ids += self.encode_fragment(fragment, ends)
         return ids
 
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        """A normalised piece's ids: how many, joined, and their tokens joined. Case and punctuation around a word share its entry."""
+        got = self.pieces.get(piece)
+        if got is None:
+            word = piece if piece.isascii() else "".join([self.byte_char[x] for x in piece.encode()])
+            ids = [i for fragment, ends in self.fragments_of(word) for i in self.encode_fragment(fragment, ends)]
+            got = len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
+            if len(self.pieces) >= self.PIECES:
+                self.pieces.clear()
+            if len(piece) <= 256:
+                self.pieces[piece] = got
+        return got
+
     def _unit(self, unit: str) -> tuple[int, str, str]:
-        ids = self.encode_segment(unit)
+        if not (unit.isascii() or max(unit) <= "\u024f"):
+            ids = self.encode_segment(unit)
+            found = [(len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))]
+        else:
+            low = unit.lower() if unit.isascii() else self.normalise(unit)
+            if low.isalpha():
+                found = [self._piece(low)]
+            elif low[:-1].isalpha() and low[-1] in ",.;:!?":
+                found = [self._piece(low[:-1]), self._piece(low[-1])]
+            else:
+                found = [self._piece(p) for p in self.split(low)]
+        got = found[0] if len(found) == 1 else (sum(x[0] for x in found), " ".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found if x[0]]))
         if len(self.units) >= self.UNITS:
             self.units.clear()
-        got = len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
         if len(unit) <= 256:
             self.units[unit] = got
         return got
