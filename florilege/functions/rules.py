@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import is_reference_heading, n_words, normalize_text, words
+from .text import is_reference_heading, let, n_words, normalize_text, words
 
 #: Why a sentence is noise, in the order in which the rules are tried.
 REASONS = ("flag", "back_matter", "reference", "word_count", "digits", "caption", "numeric", "numbered_year", "publisher", "email", "symbols", "name_list")
@@ -17,46 +17,57 @@ def reference_features(s: Column) -> dict[str, Column]:
     return {"year": s.rlike(P.YEAR), "locator": s.rlike(P.LOCATOR), "marker": s.rlike(P.MARKER), "citation": s.rlike(P.CITATION), "author": s.rlike(P.AUTHOR)}
 
 
+def _entry(s: Column) -> Column:
+    def rule(f: Column) -> Column:
+        source = f["year"] | f["locator"] | f["citation"]
+        return (
+            (f["author"] & source)
+            | (f["marker"] & (source | f["author"]))
+            | (f["locator"] & (f["year"] | f["citation"] | (F.size(words(s)) <= 12)))
+            | s.rlike(P.NAME_YEAR)
+            | (f["year"] & f["citation"])
+        )
+
+    return (F.length(s) >= 8) & let(F.struct(*(c.alias(k) for k, c in reference_features(s).items())), rule)
+
+
 def is_reference_entry(text: Column) -> Column:
-    s = normalize_text(text)
-    f = reference_features(s)
-    any_source = f["year"] | f["locator"] | f["citation"]
-    return (F.length(s) >= 8) & (
-        (f["author"] & any_source)
-        | (f["marker"] & (any_source | f["author"]))
-        | (f["locator"] & (f["year"] | f["citation"] | (F.size(words(s)) <= 12)))
-        | s.rlike(P.NAME_YEAR)
-        | (f["year"] & f["citation"])
-    )
+    return let(normalize_text(text), _entry)
 
 
 def noise_reason(text: Column, section: Column | None = None, flagged: Column | None = None) -> Column:
     """The first rule that rejects a sentence, or null where it is kept."""
-    s = normalize_text(text)
-    n, digits = n_words(s), F.length(F.regexp_replace(s, "[^0-9]", ""))
     section = F.lit("") if section is None else F.coalesce(section, F.lit(""))
-    tests = (
-        F.lit(False) if flagged is None else F.coalesce(flagged, F.lit(False)),
-        s.rlike(P.BACK_MATTER),
-        is_reference_heading(section) | is_reference_entry(s),
-        (n < 5) | (n > 90),
-        digits / F.greatest(F.lit(1), F.length(s)) > 0.28,
-        s.rlike(P.CAPTION),
-        (F.size(F.regexp_extract_all(s, F.lit(P.NUMERIC), F.lit(0))) >= 5) & ~s.rlike(P.PREDICATE),
-        s.rlike(P.NUMBERED_YEAR),
-        s.rlike(P.PUBLISHER),
-        s.rlike(P.EMAIL),
-        s.rlike(P.SYMBOLS),
-        s.rlike(P.NAME_LIST) & (n < 14),
-    )
-    out = F.when(tests[0], REASONS[0])
-    for test, reason in zip(tests[1:], REASONS[1:], strict=True):
-        out = out.when(test, reason)
-    return out
+
+    def of(s: Column, n: Column) -> Column:
+        digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
+        tests = (
+            F.lit(False) if flagged is None else F.coalesce(flagged, F.lit(False)),
+            s.rlike(P.BACK_MATTER),
+            is_reference_heading(section) | _entry(s),
+            (n < 5) | (n > 90),
+            digits / F.greatest(F.lit(1), F.length(s)) > 0.28,
+            s.rlike(P.CAPTION),
+            (F.size(F.regexp_extract_all(s, F.lit(P.NUMERIC), F.lit(0))) >= 5) & ~s.rlike(P.PREDICATE),
+            s.rlike(P.NUMBERED_YEAR),
+            s.rlike(P.PUBLISHER),
+            s.rlike(P.EMAIL),
+            s.rlike(P.SYMBOLS),
+            s.rlike(P.NAME_LIST) & (n < 14),
+        )
+        out = F.when(tests[0], REASONS[0])
+        for test, reason in zip(tests[1:], REASONS[1:], strict=True):
+            out = out.when(test, reason)
+        return out
+
+    return let(normalize_text(text), lambda s: let(n_words(s), lambda n: of(s, n)))
 
 
 def is_front_matter_line(text: Column, page_index: Column) -> Column:
-    s = normalize_text(text)
+    return let(normalize_text(text), lambda s: _front(s, page_index))
+
+
+def _front(s: Column, page_index: Column) -> Column:
     meta = s.rlike(P.FRONT_VOCABULARY) | s.rlike(P.EMAIL) | s.rlike("(?i)^(?:article|research article|original article|algorithms?)$") | s.rlike("^\\s*©|(?i:all rights reserved)")
     return (page_index == 0) & ((s == "") | (~s.rlike(rf"(?i)^(?:abstract|introduction){P.B}") & meta))
 

@@ -16,6 +16,11 @@ _ABBREVIATION = "|".join(a.replace(".", r"\.") for a in P.ABBREVIATIONS)
 _BOUNDARY = rf"(?<=[.!?])(?<!(?i:{_ABBREVIATION}))[\"')\]}}]*(?: +(?=[A-Z0-9\[(])| *\z)"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once for a row, however often f uses it: it is bound as the one element of an array."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def normalize_text(text: Column) -> Column:
     """Soft hyphens out, ligatures spelt out, hyphenated line ends joined, quotes straightened, white space collapsed. Null gives an empty string."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "­", "")
@@ -62,22 +67,20 @@ def join_tokens(items: Column) -> Column:
 
 def heading(text: Column) -> Column:
     """A section's name if the text is a heading, else null: a known name, or a number and a title in capitals."""
-    s = normalize_text(text)
-    known = rf"(?i)^({'|'.join(P.SECTIONS)})$"
+    known, none = rf"(?i)^({'|'.join(P.SECTIONS)})$", F.lit(None).cast("string")
     number = r"^[0-9]+(?:\.[0-9]+)*[.)]?\s+(.+)$"
-    title = F.regexp_replace(normalize_text(F.regexp_extract(s, number, 1)), r"[.]\z", "")
-    alpha = F.regexp_extract_all(title, F.lit("[A-Za-z][A-Za-z-]*"), F.lit(0))
     connectors = F.array(*(F.lit(w) for w in P.CONNECTORS))
-    content = F.filter(alpha, lambda w: ~F.array_contains(connectors, F.lower(w)))
-    capital = F.size(F.filter(content, lambda w: w.rlike("^[A-Z]")))
-    titled = s.rlike(number) & (title != "") & (F.size(words(title)) <= 12) & ~title.rlike(r"[:!?]\z")
-    return (
-        F.when((s == "") | (F.length(s) > 90), F.lit(None).cast("string"))
-        .when(s.rlike(known), F.lower(s))
-        .when(~titled, F.lit(None).cast("string"))
-        .when(title.rlike(known), F.lower(title))
-        .when((F.size(content) > 0) & (capital / F.size(content) >= 0.65), F.lower(title))
-    )
+
+    def named(title: Column) -> Column:
+        content = F.filter(F.regexp_extract_all(title, F.lit("[A-Za-z][A-Za-z-]*"), F.lit(0)), lambda w: ~F.array_contains(connectors, F.lower(w)))
+        capitals = let(content, lambda c: (F.size(c) > 0) & (F.size(F.filter(c, lambda w: w.rlike("^[A-Z]"))) / F.size(c) >= 0.65))
+        return F.when((title == "") | (F.size(words(title)) > 12) | title.rlike(r"[:!?]\z"), none).when(title.rlike(known) | capitals, F.lower(title))
+
+    def of(s: Column) -> Column:
+        title = F.regexp_replace(normalize_text(F.regexp_extract(s, number, 1)), r"[.]\z", "")
+        return F.when((s == "") | (F.length(s) > 90), none).when(s.rlike(known), F.lower(s)).when(s.rlike(number), let(title, named))
+
+    return let(normalize_text(text), of)
 
 
 def is_reference_heading(name: Column) -> Column:
