@@ -16,6 +16,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     state = materialise(both.distinct(), "edges")
+    known = _fingerprint(state)
     for _ in range(rounds):
         # Large star: neighbours above a node go to the smallest of it and its neighbours.
         around = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,9 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = materialise(small, "edges")
-        same = _fingerprint(new) == _fingerprint(state)
-        state = new
-        if same:
+        before, known, state = known, _fingerprint(new), new
+        if known == before:
             break
     else:
         raise RuntimeError(f"components are not found after {rounds} rounds")
