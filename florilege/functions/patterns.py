@@ -33,6 +33,7 @@ INLINE_SECTIONS = (
 )
 
 # An ASCII word boundary before or after a word character, free of the engine's idea of a word.
+# Fixed values from here on: what the rules match, with that boundary and ASCII digits.
 WORD = "A-Za-z0-9_"
 B = f"(?:(?<![{WORD}])(?=[{WORD}])|(?<=[{WORD}])(?![{WORD}]))"
 BACK_MATTER = r"^(?i:author contributions?|funding|institutional review board statement|informed consent statement|data availability statement|acknowledg(?:e)?ments?|conflicts? of interest|abbreviations?)\s*[:.]?"
