@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import bucketed, materialise
 
 WINDOW, DIVISOR, MODULUS, BASE = 3, 4, 1_000_003, 31
@@ -83,15 +84,26 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     # Every other place gets the text that it is said to repeat.
     rest = keyed.join(many, "h").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     gone = rest.select("h", "doc_id", "pos").join(heads, "h").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("pos", "head"))).alias("_gone"))
-    joined = docs.join(gone, "doc_id", "left").withColumn("_hit", F.col("_gone").isNotNull() & F.col("text").isNotNull())
-    cut = joined.withColumn("_lines", F.split("text", "\n", -1))
-    cut = cut.withColumn("_hashes", F.when(F.col("_hit"), _line_hashes(F.col("_lines")))).withColumn("_ends", F.when(F.col("_hit"), _ends(F.col("_hashes"))))
-    cut = cut.withColumn("_c", _places(F.col("_ends"))).withColumn("_kept", F.filter("_c", lambda c: F.coalesce(F.try_element_at("_gone", c["pos"]) != _chunk(c), F.lit(True))))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    left = F.when(F.col("_hit"), F.aggregate("_kept", F.lit(0), lambda s, c: s + c["stop"] - c["start"])).otherwise(n)
-    new = F.when(F.col("_hit"), F.array_join(F.flatten(F.transform("_kept", lambda c: F.slice("_lines", c["start"] + 1, c["stop"] - c["start"]))), "\n")).otherwise(F.col("text"))
-    out = cut.withColumn("n_lines", n.cast("long")).withColumn("n_removed", (n - left).cast("long")).withColumn("text", new)
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    joined = docs.join(gone, "doc_id", "left")
+    left = joined.withColumn("_left", let(F.split("text", "\n", -1), lambda lines: F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), _without(lines, F.col("_gone"))).otherwise(F.struct(F.col("text").alias("text"), F.size(lines).alias("n"), F.size(lines).alias("of")))))
+    n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(c).cast("long")
+    out = left.withColumn("n_lines", n(F.col("_left.of"))).withColumn("n_removed", n(F.col("_left.of") - F.col("_left.n")))
+    return out.withColumn("text", F.col("_left.text")).select(*docs.columns, "n_lines", "n_removed")
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """text, n (lines left), of (lines) without the chunks at gone's positions whose bytes are those that gone has for them.
+
+    Every array is bound before it is used for each element: filters on the result may be
+    pushed down to here, and would otherwise evaluate arrays for each element of others.
+    """
+    stays = lambda c: F.coalesce(F.try_element_at(gone, c["pos"]) != F.array_join(F.slice(lines, c["start"] + 1, c["stop"] - c["start"]), "\n"), F.lit(True))
+    rest = lambda kept: F.struct(
+        F.array_join(F.flatten(F.transform(kept, lambda c: F.slice(lines, c["start"] + 1, c["stop"] - c["start"]))), "\n").alias("text"),
+        F.aggregate(kept, F.lit(0), lambda s, c: s + c["stop"] - c["start"]).alias("n"),
+        F.size(lines).alias("of"),
+    )
+    return let(_line_hashes(lines), lambda h: let(_ends(h), lambda e: let(_places(e), lambda places: let(F.filter(places, stays), rest))))
 
 
 ORACLE = f"""
