@@ -37,6 +37,7 @@ from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish
 
 LENGTH, GRAM, MASK, MOST = 50, 16, 127, 64
 SORTED = 300_000  # windows sorted at once, or one key's
+PART_BYTES = 4 << 20  # of segments for which Python holds objects at once
 CHUNK, KEY, SEGMENT = range(3)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -132,21 +133,25 @@ class _Open:
     def __init__(self, ids: np.ndarray, texts: list[bytes], answers: dict):
         self.docs = _docs(ids, texts)
         self.repeats = _Chunks(self.docs).repeats(answers)
-        at, keys, of = [], [], []
+        at, keys, of, n = [], [], [], []
         for i, (d, gone) in enumerate(zip(self.docs, self.repeats, strict=True)):
             left = np.flatnonzero(~gone)
             if len(left):
-                keys.append(window_minima(d.h, LENGTH - GRAM + 1)[left])
-                at.append(left.astype(np.int32))
-                of.append(np.full(len(left), i, np.int32))
+                k = window_minima(d.h, LENGTH - GRAM + 1)[left]
+                first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (left[1:] != left[:-1] + 1)]))
+                keys.append(k[first])
+                at.append(left[first])
+                n.append(np.diff(first, append=len(left)))
+                of.append(np.full(len(first), i, np.int64))
+            d.h = None
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.at, self.keys, self.of = join(at, np.int64), join(keys, _U), join(of, np.int64)
+        # Runs of neighbouring windows with one key: their first windows and their lengths.
+        self.at, self.keys, self.of, self.n = join(at, np.int64), join(keys, _U), join(of, np.int64), join(n, np.int64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct keys, and whether several ids have them here."""
-        new = np.concatenate([[True], (self.keys[1:] != self.keys[:-1]) | (self.of[1:] != self.of[:-1])]) if len(self.keys) else np.zeros(0, bool)
         ids = np.array([d.id for d in self.docs], np.int64)
-        k, i = self.keys[new], ids[self.of[new]]
+        k, i = self.keys, ids[self.of]
         order = np.argsort(k, kind="stable")
         k, i = k[order], i[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -161,14 +166,11 @@ class _Open:
             return []
         place = np.minimum(np.searchsorted(shared, self.keys), len(shared) - 1)
         hit = np.flatnonzero(shared[place] == self.keys)
-        k, of, at = self.keys[hit], self.of[hit], self.at[hit]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)]) if len(hit) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
         out = []
-        for a, b in zip(starts.tolist(), np.append(starts[1:], len(hit)).tolist(), strict=True):
-            for s in range(a, b, MOST):
-                n, i, p = min(MOST, b - s), int(of[s]), int(at[s])
-                out.append((int(k[s]), i, p, n, self.docs[i].text[p : p + n + LENGTH - 1]))
+        for k, i, a, n in zip(*(x[hit].tolist() for x in (self.keys, self.of, self.at, self.n)), strict=True):
+            for p in range(a, a + n, MOST):
+                w = min(MOST, a + n - p)
+                out.append((k, i, p, w, self.docs[i].text[p : p + w + LENGTH - 1]))
         return out
 
 
@@ -325,21 +327,31 @@ def _segment_rows(shard: int, segments: list, docs: list[_Doc], parts: int):
 
 
 def _answer_segments(kind: int, part: int, pairs: list):
-    keys, ids, sizes, texts = [], [], [], []
+    """For each segment that a shard sent, the mask of its repeated windows. Equal keys are in one sub-range, and one is sorted at a time."""
+    got, total = [], 0
     for _, blob in pairs:
         n = int.from_bytes(blob[:8], "little")
         k, i, s = unpacked(blob[8 : 8 + n])
         raw = zstandard.ZstdDecompressor().decompress(blob[8 + n :])
-        ends = np.cumsum(s.astype(np.int64)).tolist()
-        keys.append(k)
-        ids.append(i)
-        sizes.append(s.astype(np.int64))
-        texts += [raw[e - w : e] for e, w in zip(ends, s.tolist(), strict=True)]
-    mask = repeated_windows(np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes) - LENGTH + 1, texts)
-    at = 0
-    for (shard, _), k in zip(pairs, keys, strict=True):
-        yield SEGMENT, shard, part, packed(mask[at : at + len(k)])
-        at += len(k)
+        size = s.astype(np.int64)
+        got.append((k, i, size, np.cumsum(size), raw, np.zeros(len(k), _U)))
+        total += len(raw)
+    keys = np.sort(np.concatenate([g[0] for g in got]))
+    # Sub-ranges of about PART_BYTES of text, cut at keys.
+    cuts = keys[np.linspace(0, len(keys), total // PART_BYTES + 2).astype(np.int64)[1:-1]]
+    places = [np.concatenate([[0], np.searchsorted(g[0], cuts), [len(g[0])]]) for g in got]
+    for q in range(len(cuts) + 1):
+        own = [slice(p[q], p[q + 1]) for p in places]
+        texts = [g[4][e - w : e] for g, o in zip(got, own, strict=True) for e, w in zip(g[3][o].tolist(), g[2][o].tolist(), strict=True)]
+        if not texts:
+            continue
+        mask = repeated_windows(*(np.concatenate([g[c][o] for g, o in zip(got, own, strict=True)]) for c in (0, 1)), np.concatenate([g[2][o] for g, o in zip(got, own, strict=True)]) - LENGTH + 1, texts)
+        at = 0
+        for g, o in zip(got, own, strict=True):
+            g[5][o] = mask[at : at + o.stop - o.start]
+            at += o.stop - o.start
+    for (shard, _), g in zip(pairs, got, strict=True):
+        yield SEGMENT, shard, part, packed(g[5])
 
 
 def _removed(opened: _Open, segments: list, answers: dict) -> list[np.ndarray]:
@@ -382,6 +394,8 @@ def suffix_dedup(docs: DataFrame, outputs: str = "texts") -> DataFrame:
 
     def ask_chunks(shard, ids, texts, _):
         c = _Chunks(_docs(ids, texts))
+        for d in c.docs:
+            d.h = None
         yield from blobs(CHUNK, shard, c.keys, [c.check, c.lowest], parts)
 
     chunked = materialise(answer(ask(shards, None, ask_chunks), _answer_chunks), "chunks")
