@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish, packed, ranges_for, shard_table, unpacked, unpacked_keys
 
-LENGTH, GRAM, MASK, MOST = 50, 16, 127, 64
+LENGTH, GRAM, MASK, MOST = 50, 32, 127, 64
 SORTED = 300_000  # windows sorted at once, or one key's
 PART_BYTES = 4 << 20  # of segments for which Python holds objects at once
 CHUNK, KEY, SEGMENT = range(3)
@@ -45,7 +45,7 @@ _BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) *
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """Scrambled hashes of the 16-byte strings that start at each place, by doubling."""
+    """Scrambled hashes of the GRAM-byte strings that start at each place, by doubling."""
     h, b, n = _BYTES[buf], _BASE, 1
     while n < GRAM:
         h = h[:-n] * b + h[n:]
