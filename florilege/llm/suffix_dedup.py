@@ -37,7 +37,7 @@ from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish
 
 LENGTH, GRAM, MASK, MOST = 50, 32, 127, 64
 SORTED = 300_000  # windows sorted at once, or one key's
-PART_BYTES = 4 << 20  # of segments for which Python holds objects at once
+SUB = 16  # sub-ranges of a key range's segments, unpacked one at a time
 CHUNK, KEY, SEGMENT = range(3)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -318,40 +318,41 @@ def _segment_rows(shard: int, segments: list, docs: list[_Doc], parts: int):
         seen[key, text] = min(seen.get((key, text), NO_ID), docs[i].id)
     rows = sorted((k, t, i) for (k, t), i in seen.items())
     keys = np.array([r[0] for r in rows], _U)
-    cuts = cut_points(keys, parts)
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        own = slice(cuts[p], cuts[p + 1])
-        body = packed(keys[own], np.array([r[2] for r in rows[own]], np.int64), np.array([len(r[1]) for r in rows[own]], np.uint16))
-        text = zstandard.ZstdCompressor(level=3).compress(b"".join([r[1] for r in rows[own]]))
-        yield SEGMENT, shard, p, len(body).to_bytes(8, "little") + body + text
+    cuts = cut_points(keys, parts * SUB)
+    for p in np.flatnonzero(np.diff(cuts[::SUB])).tolist():
+        subs = []
+        for q in range(p * SUB, (p + 1) * SUB):
+            own = rows[cuts[q] : cuts[q + 1]]
+            if not own:
+                subs += [b"", b""]
+                continue
+            subs.append(packed(keys[cuts[q] : cuts[q + 1]], np.array([r[2] for r in own], np.int64), np.array([len(r[1]) for r in own], np.uint16)))
+            subs.append(zstandard.ZstdCompressor(level=3).compress(b"".join([r[1] for r in own])))
+        yield SEGMENT, shard, p, np.array([len(x) for x in subs], np.int64).tobytes() + b"".join(subs)
+
+
+def _sub_segments(blob: bytes, q: int):
+    """(keys, ids, sizes, texts) of a blob's sub-range."""
+    ends = np.cumsum(np.frombuffer(blob, np.int64, 2 * SUB)) + 16 * SUB
+    start, middle, end = int(ends[2 * q - 1]) if q else 16 * SUB, int(ends[2 * q]), int(ends[2 * q + 1])
+    if start == end:
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    k, i, s = unpacked(blob[start:middle])
+    raw, size = zstandard.ZstdDecompressor().decompress(blob[middle:end]), s.astype(np.int64)
+    return k, i, size, [raw[e - w : e] for e, w in zip(np.cumsum(size).tolist(), size.tolist(), strict=True)]
 
 
 def _answer_segments(kind: int, part: int, pairs: list):
-    """For each segment that a shard sent, the mask of its repeated windows. Equal keys are in one sub-range, and one is sorted at a time."""
-    got, total = [], 0
-    for _, blob in pairs:
-        n = int.from_bytes(blob[:8], "little")
-        k, i, s = unpacked(blob[8 : 8 + n])
-        raw = zstandard.ZstdDecompressor().decompress(blob[8 + n :])
-        size = s.astype(np.int64)
-        got.append((k, i, size, np.cumsum(size), raw, np.zeros(len(k), _U)))
-        total += len(raw)
-    keys = np.sort(np.concatenate([g[0] for g in got]))
-    # Sub-ranges of about PART_BYTES of text, cut at keys.
-    cuts = keys[np.linspace(0, len(keys), total // PART_BYTES + 2).astype(np.int64)[1:-1]]
-    places = [np.concatenate([[0], np.searchsorted(g[0], cuts), [len(g[0])]]) for g in got]
-    for q in range(len(cuts) + 1):
-        own = [slice(p[q], p[q + 1]) for p in places]
-        texts = [g[4][e - w : e] for g, o in zip(got, own, strict=True) for e, w in zip(g[3][o].tolist(), g[2][o].tolist(), strict=True)]
-        if not texts:
-            continue
-        mask = repeated_windows(*(np.concatenate([g[c][o] for g, o in zip(got, own, strict=True)]) for c in (0, 1)), np.concatenate([g[2][o] for g, o in zip(got, own, strict=True)]) - LENGTH + 1, texts)
-        at = 0
-        for g, o in zip(got, own, strict=True):
-            g[5][o] = mask[at : at + o.stop - o.start]
-            at += o.stop - o.start
-    for (shard, _), g in zip(pairs, got, strict=True):
-        yield SEGMENT, shard, part, packed(g[5])
+    """For each segment that a shard sent, the mask of its repeated windows; one sub-range is unpacked and sorted at a time."""
+    masks: list[list[np.ndarray]] = [[] for _ in pairs]
+    for q in range(SUB):
+        got = [_sub_segments(blob, q) for _, blob in pairs]
+        keys, ids, sizes = (np.concatenate([g[c] for g in got]) for c in range(3))
+        mask = repeated_windows(keys, ids, sizes - LENGTH + 1, [t for g in got for t in g[3]])
+        for own, m in zip(masks, np.split(mask, np.cumsum([len(g[0]) for g in got])[:-1]), strict=True):
+            own.append(m)
+    for (shard, _), own in zip(pairs, masks, strict=True):
+        yield SEGMENT, shard, part, packed(np.concatenate(own))
 
 
 def _removed(opened: _Open, segments: list, answers: dict) -> list[np.ndarray]:
