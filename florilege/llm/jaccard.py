@@ -35,6 +35,7 @@ from .exchange import BLOB, answer, blob_batches, blobs, packed, ranges_for, unp
 DIMS = 16
 TILE, MOST = 512, 8192  # members of a tile: of blocks of up to 16 tiles, of larger ones
 LEAF = 32
+SLOTS = 1 << 25  # bits of the filter of ids: 4 MB
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -254,6 +255,21 @@ def _star_rows(stars: DataFrame, columns: str) -> DataFrame:
     return stars.select("blob").mapInArrow(run, "a long, b long" if columns == "pairs" else "sig long, a long, b long")
 
 
+def _only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of docs whose key may be among ids (one column): what a join on the key would drop, mostly before it is shuffled.
+
+    A Bloom filter of SLOTS bits with one hash, as rows of a bitmap each, is broadcast:
+    at most SLOTS / 8 bytes, whatever the number of ids. With very many ids it lets
+    more through, so a join has to follow.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    bits = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    at = docs.withColumn("slot", slot).withColumn("bucket", F.expr("bitmap_bucket_number(slot)"))
+    hit = F.expr("cast(bitmap_bit_position(slot) % 8 as int)")
+    return at.join(F.broadcast(bits), "bucket").filter(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b, ok of distinct pairs: the bound first, then the sets of the whole texts."""
     x = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
@@ -261,7 +277,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, points: DataFrame, words: int,
     near = pairs.join(x, "a").join(y, "b")
     most = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda s, v: s + v)
     near = near.filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    texts = docs.filter("text IS NOT NULL").join(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    near = materialise(near, "near")
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = _only(docs.filter("text IS NOT NULL"), ids, "doc_id").dropDuplicates(["doc_id"])
     with_texts = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
@@ -363,7 +381,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
         tiled = block.groupBy("block").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 2 AND l0 <> l1")
         tiled = tiled.select("block", F.greatest(F.least(F.ceil(F.col("n") / TILE), F.lit(16)), F.ceil(F.col("n") / MOST)).cast("int").alias("tiles"))
         held = block.join(tiled, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        texts = docs.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id").join(held, "id").dropDuplicates(["id"])
+        texts = _only(docs.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id"), held.select("id"), "id").join(held, "id").dropDuplicates(["id"])
         spread = texts.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
         more = spread.select("block", "t1", "t2", "tile", "id", "label", "text").groupBy("block", "t1", "t2").applyInArrow(_tile_links(words, percent), "a long, b long")
         more = materialise(more, "links")
