@@ -19,12 +19,15 @@ ranges of hashed keys narrow the texts down to what has to be sorted:
    by byte, are equal windows; all but those of the smallest id are repeats.
 
 Nothing is compared pair by pair within a group, and a key's frequency does not
-matter: a shard sends each distinct chunk, key or segment once.
+matter: a shard sends each distinct chunk, key or segment once. Where a key has very
+many different runs (at the edges of a passage that many documents share), its windows
+go one by one to the ranges of their own hashes, so that no task has to sort them all.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,7 @@ from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish
 
 LENGTH, GRAM, MASK, MOST = 50, 32, 127, 64
 SORTED = 300_000  # windows sorted at once, or one key's
+HOT = 2_000  # different runs of a key, from which on its windows go alone
 SUB = 16  # sub-ranges of a key range's segments, unpacked one at a time
 CHUNK, KEY, SEGMENT = range(3)
 _U = np.uint64
@@ -133,7 +137,7 @@ class _Open:
     def __init__(self, ids: np.ndarray, texts: list[bytes], answers: dict):
         self.docs = _docs(ids, texts)
         self.repeats = _Chunks(self.docs).repeats(answers)
-        at, keys, of, n = [], [], [], []
+        at, keys, of, n, ends = [], [], [], [], []
         for i, (d, gone) in enumerate(zip(self.docs, self.repeats, strict=True)):
             left = np.flatnonzero(~gone)
             if len(left):
@@ -143,43 +147,57 @@ class _Open:
                 at.append(left[first])
                 n.append(np.diff(first, append=len(left)))
                 of.append(np.full(len(first), i, np.int64))
+                ends.append(d.h[at[-1]] * _BASE ^ d.h[at[-1] + n[-1] - 1 + LENGTH - GRAM])
             d.h = None
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        # Runs of neighbouring windows with one key: their first windows and their lengths.
-        self.at, self.keys, self.of, self.n = join(at, np.int64), join(keys, _U), join(of, np.int64), join(n, np.int64)
+        # Runs of neighbouring windows with one key: their first windows, their lengths, and hashes of their two ends.
+        self.at, self.keys, self.of, self.n, self.ends = join(at, np.int64), join(keys, _U), join(of, np.int64), join(n, np.int64), join(ends, _U)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys, and whether several ids have them here."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, whether several ids have them here, and how many different runs (told apart by their ends)."""
         ids = np.array([d.id for d in self.docs], np.int64)
-        k, i = self.keys, ids[self.of]
-        order = np.argsort(k, kind="stable")
-        k, i = k[order], i[order]
-        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-        return k[first], (np.maximum.reduceat(i, first) != np.minimum.reduceat(i, first)) if len(k) else np.zeros(0, bool)
+        order = np.lexsort((self.ends, self.keys))
+        k, e, i = self.keys[order], self.ends[order], ids[self.of[order]] if len(order) else np.zeros(0, np.int64)
+        if not len(k):
+            return k, np.zeros(0, bool), np.zeros(0, np.uint32)
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        first = np.flatnonzero(new)
+        runs = np.add.reduceat(new | np.concatenate([[True], e[1:] != e[:-1]]), first, dtype=np.uint32)
+        return k[first], np.maximum.reduceat(i, first) != np.minimum.reduceat(i, first), runs
 
     def segments(self, answers: dict) -> list[tuple[int, int, int, int, bytes]]:
-        """(key, document, place, windows, text) of the runs of windows whose key several ids have."""
-        keys, several = self.distinct()
+        """(key, document, place, windows, text) of the runs of windows whose key several ids have; windows of hot keys alone, keyed by their own hash."""
+        import xxhash
+
+        keys, several, _ = self.distinct()
         parts = [unpacked(b)[0] for _, b in sorted(answers.get(KEY, {}).items())]
-        shared = keys[several | (np.concatenate(parts) if parts else np.zeros(len(keys), bool))]
+        level = np.concatenate(parts) if parts else np.zeros(len(keys), np.uint8)
+        some = several | (level & 1 > 0)
+        shared, hot = keys[some], level[some] & 2 > 0
         if not len(shared):
             return []
         place = np.minimum(np.searchsorted(shared, self.keys), len(shared) - 1)
         hit = np.flatnonzero(shared[place] == self.keys)
         out = []
-        for k, i, a, n in zip(*(x[hit].tolist() for x in (self.keys, self.of, self.at, self.n)), strict=True):
+        for k, i, a, n, alone in zip(*(x[hit].tolist() for x in (self.keys, self.of, self.at, self.n)), hot[place[hit]].tolist(), strict=True):
+            text = self.docs[i].text
+            if alone:
+                out += [(xxhash.xxh3_64_intdigest(w := text[p : p + LENGTH]), i, p, 1, w) for p in range(a, a + n)]
+                continue
             for p in range(a, a + n, MOST):
                 w = min(MOST, a + n - p)
-                out.append((k, i, p, w, self.docs[i].text[p : p + w + LENGTH - 1]))
+                out.append((k, i, p, w, text[p : p + w + LENGTH - 1]))
         return out
 
 
-def _answer_keys(kind: int, part: int, pairs: list):
-    """For each key that a shard sent, whether another shard has it too."""
-    got = [unpacked_keys(b)[0] for _, b in pairs]
-    keys, n = np.unique(np.concatenate(got), return_counts=True)
-    for (shard, _), own in zip(pairs, got, strict=True):
-        yield KEY, shard, part, packed(n[np.searchsorted(keys, own)] > 1)
+def _answer_keys(kind: int, part: int, pairs: list, hot: int):
+    """For each key that a shard sent: 1 if another shard has it too, 2 if it has `hot` different runs or more."""
+    got = [unpacked_keys(b) for _, b in pairs]
+    keys, back, n = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True, return_counts=True)
+    runs = np.bincount(back, np.concatenate([g[1] for g in got]))
+    level = (n > 1) + (runs >= hot) * np.uint8(2)
+    for (shard, _), (own, _) in zip(pairs, got, strict=True):
+        yield KEY, shard, part, packed(level[np.searchsorted(keys, own)].astype(np.uint8))
 
 
 # ---- the suffix sort ----
@@ -402,9 +420,10 @@ def suffix_dedup(docs: DataFrame, outputs: str = "texts") -> DataFrame:
     chunked = materialise(answer(ask(shards, None, ask_chunks), _answer_chunks), "chunks")
 
     def ask_keys(shard, ids, texts, answers):
-        yield from blobs(KEY, shard, _Open(ids, texts, answers).distinct()[0], [], parts)
+        keys, _, runs = _Open(ids, texts, answers).distinct()
+        yield from blobs(KEY, shard, keys, [runs], parts)
 
-    keyed = materialise(chunked.unionByName(answer(ask(shards, chunked, ask_keys), _answer_keys)), "keys")
+    keyed = materialise(chunked.unionByName(answer(ask(shards, chunked, ask_keys), partial(_answer_keys, hot=HOT))), "keys")
 
     def ask_segments(shard, ids, texts, answers):
         opened = _Open(ids, texts, answers)

@@ -156,7 +156,9 @@ def test_packed_pieces_hold_the_ids(spark, texts):
 # ---- 2 ----
 
 
-def test_repeated_strings(spark, texts):
+@pytest.mark.parametrize("hot", [1, 3, suffix_dedup.HOT])
+def test_repeated_strings(spark, texts, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rnd, made = random.Random(1), list(texts[:60])
     for _ in range(40):
         t = ""
