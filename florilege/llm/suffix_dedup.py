@@ -39,9 +39,9 @@ from .common import materialise
 from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish, packed, ranges_for, shard_table, unpacked, unpacked_keys
 
 LENGTH, GRAM, MASK, MOST = 50, 32, 127, 64
-SORTED = 300_000  # windows sorted at once, or one key's
+SORTED = 50_000  # windows sorted at once, or one key's
 HOT = 2_000  # different runs of a key, from which on its windows go alone
-SUB = 16  # sub-ranges of a key range's segments, unpacked one at a time
+SUB = 32  # sub-ranges of a key range's segments, unpacked one at a time
 CHUNK, KEY, SEGMENT = range(3)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
