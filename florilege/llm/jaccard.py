@@ -365,13 +365,19 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     first = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
     equal = sets.select("doc_id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("a", F.col("doc_id").alias("b")).filter("a <> b")
     stars = materialise(answer(_asked(docs, words, percent, ranges_for(docs)), _stars), "stars")
-    pairs = _star_rows(stars, "pairs").distinct()
-    links = materialise(_verified(pairs, docs, points, words, percent).unionByName(equal).distinct(), "links")
+    pairs = materialise(_star_rows(stars, "pairs").distinct(), "pairs")
+    # Each member is verified with the smallest of its firsts; its other pairs only where they might still join two components.
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialise(_verified(nearest, docs, points, words, percent).unionByName(equal).distinct(), "links")
     label = materialise(components(links), "labels")
-    # Signatures whose members are in several components.
     of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    split = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    split = materialise(split, "split")
+    across = lambda rows: rows.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    rest = materialise(across(pairs.join(nearest, ["a", "b"], "left_anti")), "rest")
+    if not rest.isEmpty():
+        links = materialise(links.unionByName(_verified(rest, docs, points, words, percent)), "links")
+        label = materialise(components(links), "labels")
+    # Signatures whose members are in several components.
+    split = materialise(across(pairs), "split")
     if not split.isEmpty():
         rows = _star_rows(stars, "rows")
         open_sigs = rows.join(split, ["a", "b"], "left_semi").select("sig").distinct()
