@@ -32,7 +32,7 @@ from .common import materialise
 from .components import components
 from .exchange import BLOB, answer, blob_batches, blobs, packed, ranges_for, unpacked, unpacked_keys
 
-DIMS = 16
+DIMS = 128
 TILE, MOST = 512, 8192  # members of a tile: of blocks of up to 16 tiles, of larger ones
 LEAF = 32
 SLOTS = 1 << 25  # bits of the filter of ids: 4 MB
@@ -114,7 +114,7 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=DIMS).astype(np.int32)
+    return np.bincount((s >> np.uint64(65 - DIMS.bit_length())).astype(np.int64), minlength=DIMS).astype(np.int32)
 
 
 class RTree:
