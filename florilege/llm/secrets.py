@@ -2,7 +2,8 @@
 
 Three base patterns give spans of their own. Beside them, the lexer reads source
 and configuration syntax (name = "literal", "name": "literal", export NAME=word,
-name: word) into name-literal pairs, resolves names on the right-hand side and
+name: word) into name-literal pairs, of any length and over several lines where the
+syntax has that (triple quotes, YAML blocks, quoted values of shell and .env), resolves names on the right-hand side and
 joined literals by constant propagation, and scores each literal by how
 sensitive the names are that it reaches and how random it looks. Literals that
 score high enough are spans of kind "literal".
@@ -27,9 +28,18 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 SENSITIVE = {"password": 4, "passwd": 4, "passphrase": 4, "pwd": 3, "secret": 4, "token": 3, "apikey": 4, "privatekey": 4, "accesskey": 3, "credential": 3, "auth": 2, "bearer": 3, "signing": 2, "salt": 1, "key": 1}
 HARMLESS = re.compile(r"(?i)^(?:change[-_ ]?me|example|sample|placeholder|dummy|test|none|null|true|false|your[-_ ].*|x+|\*+|<.*>|\$\{.*\}|%\(.*\)s)$")
 THRESHOLD = 5.0
-PAIR = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]{0,99})["']?[ \t]*(?::=|=>|[=:])(?![=:/])[ \t]*(?P<value>(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|[^\s"',;{}()\[\]]+)(?:[ \t]*[+.][ \t]*(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|[A-Za-z_]\w{0,99}))*)""", re.A)
-PART = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"'+]+)""", re.A)
-IDENTIFIER = re.compile(r"[$]?\{?([A-Za-z_][\w.-]{0,99})\}?$", re.A)
+HEAD = re.compile(r"""(?<![\w.-])["']?(?P<name>[A-Za-z_][\w.-]*+)["']?[ \t]*+(?P<sign>:=|=>|[=:])(?![=:/])[ \t]*+""", re.A)
+QUOTED = {q: re.compile(rf"{q}([^{q}\\\n]*+(?:\\(?s:.)[^{q}\\\n]*+)*+){q}") for q in "\"'"}
+TRIPLE = {q: re.compile(rf"{q}{q}{q}([^{q}\\]*+(?:(?:\\(?s:.)|{q}(?!{q}{q}))[^{q}\\]*+)*+){q}{q}{q}") for q in "\"'"}
+#: A quoted value over several lines (shell, .env): its end is the end of a line, and no sign stands before that.
+SPREAD = {q: re.compile(rf"{q}([^{q}\\]*+(?:\\(?s:.)[^{q}\\]*+)*+)(?<![=:]){q}(?=[ \t;,)]*(?:\r?\n|\Z))") for q in "\"'"}
+BARE = re.compile(r"""[^\s"',;{}()\[\]]++""")
+WORD = re.compile(r"[^+]+")
+JOIN = re.compile(r"""[ \t]*+[+.][ \t]*+(?=["'A-Za-z_])""")
+BLOCK = re.compile(r"[|>][-+0-9]{0,2}[ \t]*+(?:#[^\n]*+)?\r?\n")
+LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
+NAME = re.compile(r"[A-Za-z_]\w*+", re.A)
+IDENTIFIER = re.compile(r"[$]?\{?([A-Za-z_][\w.-]*+)\}?$", re.A)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -60,20 +70,77 @@ def literal_score(weight: int, value: str) -> float:
     return weight + min(2.0, len(value) / 16) + (entropy(value) - 3.0) + (any(c.isdigit() for c in value) and any(c.isalpha() for c in value))
 
 
+class _Lexer:
+    """Reads values at places of a text, of any length. A quote that opens a later value ends an earlier one, so that no two searches for an end cover the same stretch: reading is linear."""
+
+    def __init__(self, text: str):
+        self.text, self.block_end = text, 0
+
+    def quoted(self, at: int, spread: bool) -> tuple[int, int, int, int] | None:
+        """(start, end) of a quoted literal, where its value ends, where names are looked for next: inside, if it may hold lines."""
+        text, q = self.text, self.text[at]
+        if text.startswith(q * 3, at) and (m := TRIPLE[q].match(text, at)):
+            return m.start(1), m.end(1), m.end(), m.start(1)
+        if m := QUOTED[q].match(text, at):
+            return m.start(1), m.end(1), m.end(), m.end()
+        if spread and (m := SPREAD[q].match(text, at)):
+            return m.start(1), m.end(1), m.end(), m.start(1)
+        return None
+
+    def block(self, name_at: int, at: int) -> tuple[int, int, str] | None:
+        """The literal of a YAML block: the lines after its sign that are indented more than the name's. Blocks in blocks are text."""
+        text = self.text
+        if at < self.block_end or not (m := BLOCK.match(text, at)):
+            return None
+        lead = text[text.rfind("\n", 0, name_at) + 1 : name_at]
+        if lead.strip(" \t-\"'?"):
+            return None
+        indent, p, lines, start, end = len(lead.rstrip("\"'")), m.end(), [], -1, -1
+        while p < len(text):
+            line = LINE.match(text, p)
+            if body := line[2].rstrip():
+                if len(line[1]) <= indent:
+                    break
+                start, end = (line.start(2) if start < 0 else start), line.start(2) + len(body)
+                lines.append(body)
+            p = line.end()
+        self.block_end = p
+        return (start, end, "\n".join(lines)) if lines else None
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
     """(name, literals with their places, names that the value refers to) of every assignment, in order."""
-    out = []
-    for m in PAIR.finditer(text):
-        literals, names, base = [], [], m.start("value")
-        for p in PART.finditer(m["value"]):
-            if p[3] is None:
-                g = 1 if p[1] is not None else 2
-                literals.append((base + p.start(g), base + p.end(g), p[g]))
-            elif p[3].strip("."):
-                literals.append((base + p.start(3), base + p.end(3), p[3]))
-                if i := IDENTIFIER.match(p[3]):
-                    names.append(i[1])
-        out.append((m["name"], literals, names))
+    out, lexer, at = [], _Lexer(text), 0
+    while m := HEAD.search(text, at):
+        literals, names, p = [], [], m.end()
+        at, first = p, True
+        while p < len(text):
+            if text[p] in "\"'":
+                if not (found := lexer.quoted(p, m["sign"] == "=" and first)):
+                    break
+                a, b, p, resume = found
+                literals.append((a, b, text[a:b]))
+            elif first and (found := lexer.block(m.start("name"), p)):
+                literals.append(found)
+                break
+            elif w := (BARE if first else NAME).match(text, p):
+                # Of name+"literal", the sign belongs to what follows.
+                p = resume = w.end() - (w[0][-1] in "+." and w.end() - p > 1 and text[w.end() : w.end() + 1] in ("'", '"'))
+                for part in WORD.finditer(text, w.start(), p):
+                    if part[0].strip("."):
+                        literals.append((part.start(), part.end(), part[0]))
+                        if i := IDENTIFIER.match(part[0]):
+                            names.append(i[1])
+            else:
+                break
+            # Lines inside a literal may hold assignments: they are read from the first such literal on.
+            at, inside = (resume, resume < p) if first or not inside else (at, True)
+            first = False
+            if not (j := JOIN.match(text, p)):
+                break
+            p = j.end()
+        if literals:
+            out.append((m["name"], literals, names))
     return out
 
 

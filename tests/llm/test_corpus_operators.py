@@ -420,6 +420,23 @@ def test_redaction():
     assert secrets.redacted(t) == "x [secret]\" y [secret]" and secrets.redacted("plain") == "plain"
 
 
+def literals_in(text):
+    return [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+
+
+def test_long_and_multi_line_literals():
+    long, short = "aB3$xY9!" * 550, "Zx8#kQ2!mW9$pL4&"
+    assert literals_in(f'private_key = "{long}"') == [long] and literals_in(f"private_key = '{long}'") == [long]
+    assert literals_in(f'{"a" * 120}_password = "{short}"') == [short]
+    assert literals_in(f'{"a" * 120} = "{short}"\npassword = {"a" * 120}')[0] == short
+    assert literals_in(f'k = """{short}\n"{short}"\n"""\npassword = k')[0] == f'{short}\n"{short}"\n'
+    assert literals_in(f"tls:\n  private_key: |\n    {short}\n\n    {short}\n  other: {short}") == [f"{short}\n\n    {short}"]
+    assert literals_in(f'DB_PASSWORD="{short}\n{short}"\n') == [f"{short}\n{short}"]
+    # Lines inside a long literal are read as before.
+    assert literals_in(f'k = """\npassword = "{short}"\n"""') == [short] and literals_in(f"run: |\n  export TOKEN={short}") == [short]
+    assert literals_in(f'x = "no end\npassword = "{short}"') == [short]
+
+
 # ---- 10 ----
 
 
