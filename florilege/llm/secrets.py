@@ -144,22 +144,95 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
     return out
 
 
+class _Joined:
+    """What scoring needs of a joined text: its length, ends and character counts."""
+
+    ENDS = 32  # longer than every fixed form of HARMLESS
+
+    def __init__(self):
+        self.n, self.head, self.tail, self.counts = 0, "", "", Counter()
+
+    def copy(self) -> _Joined:
+        out = _Joined()
+        out.n, out.head, out.tail, out.counts = self.n, self.head, self.tail, self.counts.copy()
+        return out
+
+    def add(self, n: int, head: str, tail: str, counts) -> None:
+        if self.n < self.ENDS:
+            self.head = (self.head + head)[: self.ENDS]
+        self.tail = (self.tail + tail)[-self.ENDS :] if n < self.ENDS else tail
+        self.n += n
+        self.counts.update(counts)
+
+    def add_text(self, text: str) -> None:
+        self.add(len(text), text[: self.ENDS], text[-self.ENDS :], text)
+
+    def add_joined(self, o: _Joined) -> None:
+        self.add(o.n, o.head, o.tail, o.counts)
+
+    def harmless(self) -> bool:
+        if self.n <= self.ENDS:
+            return bool(HARMLESS.match(self.head))
+        # The ends decide, and of the middle whether it holds newlines or anything but x or *.
+        kinds = set(self.counts)
+        middle = "\n" if self.counts["\n"] > self.tail.count("\n") else "x" if kinds <= {"x", "X"} else "*" if kinds == {"*"} else "a"
+        return bool(HARMLESS.match(self.head + middle + self.tail))
+
+    def score(self, weight: int) -> float:
+        """literal_score of the joined text."""
+        if not weight or self.n < 8 or self.harmless():
+            return 0.0
+        shares = [c / self.n for c in self.counts.values()]
+        varied = any(c.isdigit() for c in self.counts) and any(c.isalpha() for c in self.counts)
+        return weight + min(2.0, min(self.n, 32) / 16) - sum(p * math.log2(p) for p in shares if p) - 3.0 + varied
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that reach a sensitive name, directly or through constants."""
+    """Literals that reach a sensitive name, directly or through constants.
+
+    Every assignment is a version of its name and refers to the versions that its value names. A
+    literal's names are those of all versions that can be reached from its own: versions come in
+    order, so one pass backwards gives each the best of what it reaches, however long the chain.
+    """
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, list] = {}
-    best: dict[tuple[int, int], float] = {}
+    versions, current = [], {}
     for name, literals, names in pairs(text):
-        held = [x for n in names if n in known for x in known[n]]
-        own = [x for x in literals if x[2] not in known]
-        joined = "".join(x[2] for x in [*held, *own])
-        weight = name_weight(name)
-        for a, b, value in [*held, *own]:
-            score = max(literal_score(weight, value), literal_score(weight, joined) if len(value) >= 8 else 0)
-            best[a, b] = max(best.get((a, b), 0), score)
-        known[name] = [*held, *own][:64]
-    return [(a, b, "literal") for (a, b), s in best.items() if s >= THRESHOLD]
+        held = [current[n] for n in names if n in current]
+        versions.append((name_weight(name), held, [x for x in literals if x[2] not in current]))
+        current[name] = len(versions) - 1
+    # The largest weight that each version reaches, and how many needed versions join its text.
+    weight, users = [v[0] for v in versions], [0] * len(versions)
+    for i in range(len(versions) - 1, -1, -1):
+        for h in versions[i][1] if weight[i] else ():
+            weight[h] = max(weight[h], weight[i])
+            users[h] += 1
+    # Texts are joined in order; one that nothing else needs grows in place.
+    joined, score = {}, [0.0] * len(versions)
+    for i, (w, held, own) in enumerate(versions):
+        if not weight[i]:
+            continue
+        whole = None
+        for h in held:
+            users[h] -= 1
+            if whole is None:
+                whole = joined[h] if users[h] else joined.pop(h)
+                whole = whole.copy() if users[h] else whole
+            else:
+                whole.add_joined(joined[h] if users[h] else joined.pop(h))
+        whole = whole or _Joined()
+        for x in own:
+            whole.add_text(x[2])
+        score[i] = whole.score(w)
+        if users[i]:
+            joined[i] = whole
+    best: dict[tuple[int, int], float] = {}
+    for i in range(len(versions) - 1, -1, -1):
+        for h in versions[i][1]:
+            score[h] = max(score[h], score[i])
+        for a, b, value in versions[i][2] if weight[i] else ():
+            best[a, b] = max(best.get((a, b), 0), literal_score(weight[i], value), score[i] if len(value) >= 8 else 0)
+    return sorted((a, b, "literal") for (a, b), s in best.items() if s >= THRESHOLD)
 
 
 def spans(text: str) -> tuple[list, list]:

@@ -437,6 +437,38 @@ def test_long_and_multi_line_literals():
     assert literals_in(f'x = "no end\npassword = "{short}"') == [short]
 
 
+def brute_literals(text):
+    """Constant propagation by lists of all literals that a name holds."""
+    known, best = {}, {}
+    for name, literals, names in secrets.pairs(text):
+        held = [x for n in names if n in known for x in known[n]]
+        every = [*held, *(x for x in literals if x[2] not in known)]
+        joined, weight = "".join(x[2] for x in every), secrets.name_weight(name)
+        for a, b, value in every:
+            best[a, b] = max(best.get((a, b), 0), secrets.literal_score(weight, value), secrets.literal_score(weight, joined) if len(value) >= 8 else 0)
+        known[name] = every
+    return sorted((a, b, "literal") for (a, b), s in best.items() if s >= secrets.THRESHOLD)
+
+
+LITERAL = st.sampled_from(["Zx8#kQ2!mW9$pL4&", "Ab9-xY7_", "your-value and more of it, to be set", "xxxxxxxxxx", "<value>", "<", ">", "changeme", "********", "word", "9f"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "key", "auth", "password"]), st.lists(st.one_of(LITERAL.map(lambda x: f'"{x}"'), st.sampled_from(["a", "b", "c", "key", "auth"])), min_size=1, max_size=3)), max_size=9))
+def test_constants_reach_all_names(lines):
+    text = "\n".join(f"{n} = {' + '.join(v)}" for n, v in lines)
+    assert sorted(secrets.literal_spans(text)) == brute_literals(text)
+
+
+def test_long_chains_of_constants():
+    parts = [hashlib.sha256(str(i).encode()).hexdigest()[:16].upper() for i in range(300)]
+    chain = 'x = ""\n' + "".join(f'x = x + "{p}"\n' for p in parts)
+    assert literals_in(chain + "password = x") == parts and literals_in(chain) == []
+    assert literals_in("".join(f'x{i} = "{p}"\n' for i, p in enumerate(parts)) + "y = " + " + ".join(f"x{i}" for i in range(300)) + "\npassword = y") == parts
+    # Each doubling is exact too: 2^500 copies of the literal.
+    assert literals_in(f'x = "{parts[0]}"\n' + "x = x + x\n" * 500 + "password = x")[0] == parts[0]
+
+
 # ---- 10 ----
 
 
