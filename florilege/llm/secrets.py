@@ -35,10 +35,14 @@ TRIPLE = {q: re.compile(rf"{q}{q}{q}([^{q}\\]*+(?:(?:\\(?s:.)|{q}(?!{q}{q}))[^{q
 SPREAD = {q: re.compile(rf"{q}([^{q}\\]*+(?:\\(?s:.)[^{q}\\]*+)*+)(?<![=:]){q}(?=[ \t;,)]*(?:\r?\n|\Z))") for q in "\"'"}
 BARE = re.compile(r"""[^\s"',;{}()\[\]]++""")
 WORD = re.compile(r"[^+]+")
-JOIN = re.compile(r"""[ \t]*+[+.][ \t]*+(?=["'A-Za-z_])""")
+JOIN = re.compile(r"""[ \t]*+[+.][ \t]*+(?=["'$A-Za-z_])""")
 BLOCK = re.compile(r"[|>][-+0-9]{0,2}[ \t]*+(?:#[^\n]*+)?\r?\n")
 LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
-NAME = re.compile(r"[A-Za-z_]\w*+", re.A)
+NAME = re.compile(r"[$]?[A-Za-z_]\w*+", re.A)
+#: $NAME, ${NAME}, ${NAME:-word}; after a bare value's "$", and what may follow a reference in it.
+REFERENCE = re.compile(r"""(?<!\\)[$](?:\{(?P<braced>[A-Za-z_][\w.-]*+)(?::[-=]?(?P<default>[^{}\s"']*+))?\}|(?P<plain>[A-Za-z_]\w*+))""", re.A)
+BRACED = re.compile(r"""\{[A-Za-z_][\w.-]*+(?P<default>:[^{}\s"']*+)?\}""", re.A)
+TAIL = re.compile(r"""[^\s"',;{}()\[\]=:?&]*+""")
 IDENTIFIER = re.compile(r"[$]?\{?([A-Za-z_][\w.-]*+)\}?$", re.A)
 
 
@@ -87,6 +91,22 @@ class _Lexer:
             return m.start(1), m.end(1), m.end(), m.start(1)
         return None
 
+    def bare(self, at: int, first: bool) -> tuple[int, int] | None:
+        """Where a value without quotes ends, and where names are looked for next."""
+        text = self.text
+        if not (m := (BARE if first else NAME).match(text, at)):
+            return None
+        end = resume = m.end()
+        while first and text[end - 1] == "$" and (r := BRACED.match(text, end)):
+            end = r.end()
+            if r["default"] is not None:
+                return end, r.start() + 1
+            resume, end = end, TAIL.match(text, end).end()
+        # Of name+"literal", the sign belongs to what follows.
+        if text[end - 1] in "+." and end - at > 1 and text[end : end + 1] in ("'", '"'):
+            end, resume = end - 1, min(resume, end - 1)
+        return end, resume
+
     def block(self, name_at: int, at: int) -> tuple[int, int, str] | None:
         """The literal of a YAML block: the lines after its sign that are indented more than the name's. Blocks in blocks are text."""
         text = self.text
@@ -114,23 +134,33 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
     while m := HEAD.search(text, at):
         literals, names, p = [], [], m.end()
         at, first = p, True
+
+        def references(a: int, b: int, literals=literals, names=names) -> None:
+            for r in REFERENCE.finditer(text, a, b):
+                names.append(r["braced"] or r["plain"])
+                if r["default"]:
+                    literals.append((*r.span("default"), r["default"]))
+
         while p < len(text):
             if text[p] in "\"'":
                 if not (found := lexer.quoted(p, m["sign"] == "=" and first)):
                     break
                 a, b, p, resume = found
                 literals.append((a, b, text[a:b]))
+                if text[b] == '"':
+                    references(a, b)
             elif first and (found := lexer.block(m.start("name"), p)):
                 literals.append(found)
                 break
-            elif w := (BARE if first else NAME).match(text, p):
-                # Of name+"literal", the sign belongs to what follows.
-                p = resume = w.end() - (w[0][-1] in "+." and w.end() - p > 1 and text[w.end() : w.end() + 1] in ("'", '"'))
-                for part in WORD.finditer(text, w.start(), p):
+            elif found := lexer.bare(p, first):
+                q, (p, resume) = p, found
+                for part in WORD.finditer(text, q, p):
                     if part[0].strip("."):
                         literals.append((part.start(), part.end(), part[0]))
                         if i := IDENTIFIER.match(part[0]):
                             names.append(i[1])
+                        else:
+                            references(*part.span())
             else:
                 break
             # Lines inside a literal may hold assignments: they are read from the first such literal on.
@@ -187,6 +217,12 @@ class _Joined:
         return weight + min(2.0, min(self.n, 32) / 16) - sum(p * math.log2(p) for p in shares if p) - 3.0 + varied
 
 
+def _stands_for(text: str, literal: tuple[int, int, str], known) -> bool:
+    """Whether a literal is nothing but a reference to a known name, or with a default, which is a literal of its own."""
+    a, b, value = literal
+    return value[:1] == "$" and text[a - 1] != "'" and bool(r := REFERENCE.fullmatch(text, a, b)) and (bool(r["default"]) or (r["braced"] or r["plain"]) in known)
+
+
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through constants.
 
@@ -199,7 +235,7 @@ def literal_spans(text: str) -> list[tuple[int, int, str]]:
     versions, current = [], {}
     for name, literals, names in pairs(text):
         held = [current[n] for n in names if n in current]
-        versions.append((name_weight(name), held, [x for x in literals if x[2] not in current]))
+        versions.append((name_weight(name), held, [x for x in literals if x[2] not in current and not _stands_for(text, x, current)]))
         current[name] = len(versions) - 1
     # The largest weight that each version reaches, and how many needed versions join its text.
     weight, users = [v[0] for v in versions], [0] * len(versions)

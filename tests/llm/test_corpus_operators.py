@@ -469,6 +469,27 @@ def test_long_chains_of_constants():
     assert literals_in(f'x = "{parts[0]}"\n' + "x = x + x\n" * 500 + "password = x")[0] == parts[0]
 
 
+@pytest.mark.parametrize(
+    "use",
+    [
+        "export DB_PASSWORD=${X}", "export DB_PASSWORD=$X", 'DB_PASSWORD="${X}"', 'DB_PASSWORD="$X"', 'DB_PASSWORD="pre-${X}-$Y"', "DB_PASSWORD=${Y}/${X}", "DB_PASSWORD=pre-${X}",
+        "services:\n  db:\n    environment:\n      DB_PASSWORD: ${X}", "    environment:\n      - DB_PASSWORD=${X}", '      DB_PASSWORD: "${X}"', "DB_PASSWORD=${X:-none}", '$password = "a" . $X;',
+    ],
+)
+def test_references_are_followed(use):
+    value = "Zx8#kQ2!mW9$pL4&"
+    for assigned in (f'X="{value}"', f"export X='{value}'", f"X={value}"):
+        assert value in literals_in(f"Y=1\n{assigned}\n{use}\n")
+    assert literals_in(f"X='{value}'\n" + use.replace("DB_PASSWORD", "TITLE").replace("password", "title")) == []
+
+
+def test_references_and_what_follows_them():
+    value = "Zx8#kQ2!mW9$pL4&"
+    assert literals_in(f"X='{value}'\nDB_PASSWORD='${{X}}'") == [] and literals_in(f"X='{value}'\nDB_PASSWORD=\"\\${{X}}\"") == []
+    assert literals_in(f"DB_PASSWORD=${{X:-{value}}}") == [value] and literals_in(f'DB_PASSWORD="${{X:-{value}}}"') == [value]
+    assert value in literals_in(f"url=${{HOST}}?password={value}") and literals_in(f"a=${{X}}b=${{Y}}password={value}") == [value]
+
+
 # ---- 10 ----
 
 
