@@ -25,12 +25,12 @@ NONE = -(1 << 62)  # the score of no row
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """vec_id, v array<long>, code: floor(scale * x); rows whose vector is null or holds null or non-finite components are left out."""
+    """vec_id, v array<long>, code: floor(scale * x); rows whose id is null, or whose vector is null or holds null or non-finite components, are left out."""
     v = F.col(vector_col)
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     ints = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long"))
     signs = F.aggregate(F.slice(F.col("v"), 1, 12), F.lit(0).cast("int"), lambda a, x: a * 2 + (x >= 0).cast("int"))
-    return vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).withColumn("code", signs)
+    return vectors.filter(F.col(id_col).cast("long").isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("v")).withColumn("code", signs)
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -85,7 +85,7 @@ def search_stripe(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarr
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row that is_query (a condition on vec_id) holds for.
 
-    Vectors that are null or hold null or non-finite components take no part.
+    Rows with a null id, and vectors that are null or hold null or non-finite components, take no part.
     Equal scores rank by vec_id. Products that leave 64 bits are not supported.
     """
     rows = quantised(vectors, id_col, vector_col, scale)

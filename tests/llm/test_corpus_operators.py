@@ -362,6 +362,20 @@ def test_top_k(spark):
     assert topk.top_k(df.filter("vec_id IN (0, 3)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_top_k_without_ids(spark, tmp_path):
+    import duckdb
+
+    rnd = np.random.default_rng(7)
+    made = [(i, [float(x) for x in rnd.normal(0, 0.2, 8)]) for i in range(200)]
+    made += [(None, [9.0] * 8), (None, None), (None, made[0][1])]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(OP7_SQL).fetchall()
+    got = [tuple(r) for r in queries()["op7_top_k_search"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()]
+    assert len(want) == 20 and sorted(got) == sorted(want)
+
+
 # ---- 8 ----
 
 
