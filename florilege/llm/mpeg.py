@@ -14,6 +14,7 @@ import hashlib
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +92,53 @@ def header(four: bytes) -> Header | None:
     return Header({3: 1, 2: 2, 0: 25}[version_bits], layer, kbps, hz, 1 if mono else 2, size, samples, not four[1] & 1, side)
 
 
+#: Runs of Layer II subbands: (bits of an allocation, subbands).
+_FULL, _LOW, _HALF = ((4, 11), (3, 12), (2, 7)), ((4, 2), (3, 10)), ((4, 4), (3, 7), (2, 19))
+
+
+def _allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation in Layers I and II."""
+    if h.layer == 1:
+        return [4] * 32
+    kbps = h.kbps // h.channels
+    if h.version != 1:
+        runs, bands = _HALF, 30
+    elif kbps < 56:
+        runs, bands = _LOW, 12 if h.hertz == 32000 else 8
+    else:
+        runs, bands = _FULL, 30 if kbps >= 96 and h.hertz != 48000 else 27
+    return [bits for bits, n in runs for _ in range(n)][:bands]
+
+
+def guard(h: Header, frame: bytes) -> int:
+    """The checksum of what a guarded frame's covers: half of the header, and side information (III), bit allocations (I), or these and the choices of scale factors (II)."""
+    if h.layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side])
+    widths, mode = _allocation(h), frame[3] >> 6
+    both = 32 if mode != 1 else 4 + 4 * (frame[3] >> 4 & 3)  # from here on, channels share an allocation
+    body = frame[6:]
+    bits, end = int.from_bytes(body, "big"), 8 * len(body)
+    at = chosen = 0
+    for band, width in enumerate(widths):
+        for _ in range(h.channels if band < both else 1):
+            used = bits >> max(end - at - width, 0) & (1 << width) - 1
+            chosen += bool(used) * (1 if band < both else h.channels)
+            at += width
+    at += 2 * chosen if h.layer == 2 else 0
+    whole, rest = divmod(at, 8)
+    r = crc16(frame[2:4] + body[:whole])
+    for i in range(rest):
+        bit = bits >> max(end - at + rest - 1 - i, 0) & 1
+        r = r << 1 & 0xFFFF ^ (0x8005 if (r >> 15) ^ bit else 0)
+    return r
+
+
+def _vbri_table(frame: bytes) -> list[int]:
+    n, scale, size = (int.from_bytes(frame[i : i + 2], "big") for i in (54, 56, 58))
+    steps = [int.from_bytes(frame[i : i + size], "big") * scale for i in range(62, 62 + n * size, size)] if size and 62 + n * size <= len(frame) else []
+    return list(accumulate(steps))
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -148,6 +196,7 @@ class Stream:
     vbr: str = ""
     vbr_frames: int = -1
     vbr_bytes: int = -1
+    vbr_seek: list[int] = field(default_factory=list)  # bytes up to each percent (Xing), or up to each step's end (VBRI)
     bodies: list[tuple[int, int]] = field(default_factory=list)
 
     @property
@@ -185,8 +234,8 @@ def parse(data: bytes) -> Stream:
             out.resyncs += 1
             out.skipped += at - start
             continue
-        if h.guarded and h.layer == 3:
-            if int.from_bytes(data[at + 4 : at + 6], "big") != crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]):
+        if h.guarded:
+            if int.from_bytes(data[at + 4 : at + 6], "big") != guard(h, data[at : at + h.size]):
                 out.bad_checksums += 1
         else:
             out.unguarded += 1
@@ -197,9 +246,13 @@ def parse(data: bytes) -> Stream:
             if flags & 1:
                 out.vbr_frames, p = int.from_bytes(data[p : p + 4], "big"), p + 4
             if flags & 2:
-                out.vbr_bytes = int.from_bytes(data[p : p + 4], "big")
+                out.vbr_bytes, p = int.from_bytes(data[p : p + 4], "big"), p + 4
+            if flags & 4 and p + 100 <= at + h.size:
+                total = out.vbr_bytes if flags & 2 else end - at
+                out.vbr_seek = [x * total // 256 for x in data[p : p + 100]]
         elif first and data[at + 36 : at + 40] == b"VBRI":
             out.vbr, out.vbr_bytes, out.vbr_frames = "VBRI", int.from_bytes(data[at + 46 : at + 50], "big"), int.from_bytes(data[at + 50 : at + 54], "big")
+            out.vbr_seek = _vbri_table(data[at : at + h.size])
         else:
             out.offsets.append(at)
             out.bodies.append((at + h.body, at + h.size))

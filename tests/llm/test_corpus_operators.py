@@ -400,6 +400,55 @@ def test_media_damage():
     assert mpeg.header(b"\xff\xfb\x90\x00").size == 417 and mpeg.header(b"\xff\xf3\x40\xc0").samples == 576 and mpeg.header(b"\xff\xff\x90\x00").layer == 1
 
 
+def crc_of_bits(bits):
+    r = 0xFFFF
+    for b in bits:
+        r = (r << 1 & 0xFFFF) ^ (0x8005 if (r >> 15) ^ int(b) else 0)
+    return r
+
+
+@pytest.mark.parametrize(
+    "four, allocated, scale_bits",
+    [
+        ("fffe9000", "0001" * 64, 0),  # Layer I, stereo
+        ("fffe90c0", "0001" * 32, 0),  # Layer I, mono
+        ("fffe9050", "0001" * (2 * 8 + 24), 0),  # Layer I, joint from subband 8
+        ("fffca0c0", "0001" * 11 + "001" * 12 + "01" * 7, 60),  # Layer II, 192 kbit/s mono: 30 subbands
+        ("fffca000", "0001" * 22 + "000" * 24 + "01" * 14, 72),  # stereo, 96 kbit/s a channel
+        ("fffca400", "0001" * 22 + "001" * 24 + "01" * 8, 108),  # 48 kHz: 27 subbands
+        ("fffc10c0", "0001" * 2 + "001" * 6, 16),  # 32 kbit/s: 8 subbands
+        ("fffc18c0", "0001" * 2 + "001" * 10, 24),  # and 32 kHz: 12
+        ("fff4a0c0", "0001" * 4 + "001" * 7 + "01" * 19, 60),  # MPEG-2
+        ("fffca040", "0001" * 8 + "0001" * 7 + "001" * 12 + "01" * 7, 120),  # joint from subband 4
+    ],
+)
+def test_layer_1_and_2_checksums(four, allocated, scale_bits):
+    four = bytes.fromhex(four)
+    h = mpeg.header(four)
+    assert h.guarded and h.layer in (1, 2)
+    kept = allocated + ("10" * 60)[:scale_bits]
+    bits = kept + "1" * (8 * (h.size - 6) - len(kept))
+    body = int(bits, 2).to_bytes(h.size - 6, "big")
+    made = four + crc_of_bits(f"{int.from_bytes(four[2:], 'big'):016b}" + kept).to_bytes(2, "big") + body
+    s = mpeg.parse(made * 3)
+    assert len(s.offsets) == 3 and s.bad_checksums == s.unguarded == s.resyncs == 0
+    for i, bad in ((48, 1), (48 + len(kept) - 1, 1), (48 + len(kept), 0)):
+        hurt = bytearray(made)
+        hurt[i // 8] ^= 128 >> i % 8
+        assert mpeg.parse(bytes(hurt) + made * 2).bad_checksums == bad
+
+
+def test_seek_tables():
+    s = mpeg.parse(mpeg.encode(bytes(range(256)) * 400))
+    assert len(s.vbr_seek) == 100 and s.vbr_seek[0] == 0 and s.vbr_seek == sorted(s.vbr_seek) and s.vbr_seek[99] > s.vbr_bytes * 0.95
+    frame = b"\xff\xfb\x90\x00".ljust(417, b"\0")
+    for n, size, want in ((3, 2, [20, 60, 140]), (3, 1, [20, 60, 140]), (3, 4, [20, 60, 140]), (999, 2, [])):
+        table = b"".join(x.to_bytes(size, "big") for x in (10, 20, 40))
+        head = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (12).to_bytes(4, "big") + n.to_bytes(2, "big") + (2).to_bytes(2, "big") + size.to_bytes(2, "big") + (4).to_bytes(2, "big")
+        s = mpeg.parse((frame[:36] + head + table).ljust(417, b"\0") + frame * 2)
+        assert (s.vbr, s.vbr_frames, s.vbr_bytes, s.vbr_seek) == ("VBRI", 12, 5000, want)
+
+
 # ---- 9 ----
 
 
