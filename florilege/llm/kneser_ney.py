@@ -1,13 +1,15 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model.
-
-Counting and scoring share two exchanges between shards of documents and ranges
-of hashed keys. First, shards send their distinct bigrams and words with training
-counts; a range sums them into sorted hash arrays, which its task memory-maps to
-answer each shard's keys: the total count, and whether the shard owns the bigram
-(exactly one shard does). Then shards send, for each word, what the bigrams they
+"""Language-model scoring: an interpolated modified Kneser-Ney model of any order from 2.
+
+Counting and scoring share exchanges between shards of documents and ranges of
+hashed keys, one for each order. First, shards send their distinct n-grams of the
+highest order and words with training counts; a range sums them into sorted hash
+arrays, which its task memory-maps to answer each shard's keys: the total count,
+and whether the shard owns the n-gram (exactly one shard does). Then, order by
+order, shards send for each n-gram that is one word shorter what the n-grams they
 own add to it: as a context (sum of counts, how many followers occur once, twice,
-more often) and as a word (number of distinct words before it). With both
-answers a shard has all it needs to score its texts.
+more often) and as an ending (number of distinct words before it; n-grams at a
+text's beginning, which no word precedes, keep their counts). With all answers a
+shard has all it needs to score its texts.
 
 Discounts come from the global counts of counts, a few numbers that are summed in
 Spark. Nothing else reaches the driver; what is gathered grows with the corpus.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .exchange import NO_ID, answer, ask, blobs, finish, narrow, packed, ranges_for, shard_table, unpacked, unpacked_keys
 
-BIGRAM, WORD, CONTEXT, STATS1, STATS2 = range(5)
+TOP, WORD, STATS, LEVEL = range(4)  # n-grams of k words, as contexts and endings, are kind LEVEL + k
 #: Hash keys of the text's end and of its beginning; words have the hash of their bytes.
 END, BEGIN = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -66,27 +68,50 @@ def is_training(ids: np.ndarray, modulus: int, held: int) -> np.ndarray:
     return np.array([i != NO_ID and zlib.crc32(str(i).encode()) % modulus != held for i in ids.tolist()], bool)
 
 
+class _Level:
+    """A shard's distinct n-grams of one length: keys and their order in blobs; first word, ending and context (levels below), and the n-gram at each token."""
+
+    def __init__(self, keys, at, begin, first=None, ending=None, context=None):
+        self.keys, self.at, self.begin, self.first, self.ending, self.context = keys, at, begin, first, ending, context
+        self.order = np.argsort(keys, kind="stable")
+
+
 class _Shard:
-    """A shard's distinct words and bigrams, in the order in which blobs carry them."""
+    """A shard's distinct n-grams of each length up to the model's order."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], modulus: int, held: int):
+    def __init__(self, ids: np.ndarray, texts: list[bytes], modulus: int, held: int, order: int):
         self.ids = ids
         self.train = is_training(ids, modulus, held)
         self.tokens, before, self.doc, self.word_keys = tokenised(texts)
-        codes = before * len(self.word_keys) + self.tokens
-        distinct, self.bigram_of = np.unique(codes, return_inverse=True)
-        self.first, self.second = np.divmod(distinct, len(self.word_keys))
-        self.keys = bigram_keys(self.word_keys[self.first], self.word_keys[self.second])
-        self.order, self.word_order = np.argsort(self.keys, kind="stable"), np.argsort(self.word_keys, kind="stable")
+        self.levels = [None, _Level(self.word_keys, self.tokens, 1)]
+        starts = np.concatenate([[True], self.tokens[:-1] == 0]) if len(self.tokens) else np.zeros(0, bool)
+        for k in range(2, order + 1):
+            under = self.levels[-1]
+            if k > 2:
+                before = np.concatenate([[1], before[:-1]])
+                before[starts] = 1
+            # Last comes the n-gram of beginnings alone, which is a context but stands nowhere.
+            codes = before * len(under.keys) + under.at
+            if k < order:
+                codes = np.append(codes, len(under.keys) + under.begin)
+            distinct, at = np.unique(codes, return_inverse=True)
+            first, ending = np.divmod(distinct, len(under.keys))
+            context = first
+            if k > 2:
+                context = np.full(len(distinct), under.begin)
+                context[at[: len(self.tokens)]] = np.where(starts, under.begin, np.roll(under.at, 1))
+            keys = bigram_keys(self.word_keys[first], under.keys[ending])
+            self.levels.append(_Level(keys, at[: len(self.tokens)], int(at[-1]) if k < order else -1, first, ending, context))
+        self.top = self.levels[order]
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         w = self.train[self.doc].astype(np.float64)
-        return np.bincount(self.bigram_of, w, len(self.keys)).astype(np.int64), np.bincount(self.tokens, w, len(self.word_keys)).astype(np.int64)
+        return np.bincount(self.top.at, w, len(self.top.keys)).astype(np.int64), np.bincount(self.tokens, w, len(self.word_keys)).astype(np.int64)
 
     def restored(self, answers: dict, kind: int, columns: int) -> list[np.ndarray]:
         """The answers of all ranges, in the order of the shard's own arrays."""
         parts = [unpacked(b) for _, b in sorted(answers.get(kind, {}).items())]
-        order = self.order if kind == BIGRAM else self.word_order
+        order = (self.top if kind == TOP else self.levels[max(kind - LEVEL, 1)]).order
         out = []
         for c in range(columns):
             a = np.zeros(len(order), np.int64)
@@ -95,6 +120,11 @@ class _Shard:
             out.append(a)
         return out
 
+    def counted(self, answers: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(count, whether the shard owns it) of each n-gram of k words: how often it occurs, below the model's order how many words precede it."""
+        c, mine = self.restored(answers, TOP, 2) if self.levels[k] is self.top else self.restored(answers, LEVEL + k, 6)[4:]
+        return c, mine > 0
+
 
 def _summed(pairs: list[tuple[int, bytes]], columns: int) -> tuple[np.ndarray, list[np.ndarray], str]:
     """Sorted hash arrays of a range in a file, memory-mapped: distinct keys, and sums of each column."""
@@ -125,14 +155,14 @@ def _answer_counts(kind: int, part: int, pairs: list):
             own, sent = unpacked_keys(blob)
             at = np.searchsorted(keys, own)
             c = counts[at]
-            if kind == BIGRAM:
+            if kind == TOP:
                 mine = (sent > 0) & ~owned[at]
                 owned[at[mine]] = True
                 yield kind, shard, part, packed(narrow(c), mine)
             else:
                 yield kind, shard, part, packed(narrow(c))
         stats = [*_count_of_counts(counts), int(counts.sum()), int((counts > 0).sum())]
-        yield STATS1, kind, part, packed(np.array(stats, np.int64))
+        yield STATS, kind, part, packed(np.array(stats, np.int64))
     finally:
         os.unlink(path)
 
@@ -140,17 +170,21 @@ def _answer_counts(kind: int, part: int, pairs: list):
 def _answer_words(kind: int, part: int, pairs: list):
     keys, sums, path = _summed(pairs, 5)
     try:
+        n, owned = sums[4], np.zeros(len(keys), bool)
         for shard, blob in pairs:
             at = np.searchsorted(keys, unpacked_keys(blob)[0])
-            yield kind, shard, part, packed(*(narrow(s[at]) for s in sums))
-        n = sums[4]
+            answers = [narrow(s[at]) for s in sums]
+            if kind > LEVEL + 1:
+                answers.append((n[at] > 0) & ~owned[at])
+                owned[at] = True
+            yield kind, shard, part, packed(*answers)
         stats = [*_count_of_counts(n), int(n.sum()), int((n > 2).sum())]
-        yield STATS2, kind, part, packed(np.array(stats, np.int64))
+        yield STATS, kind, part, packed(np.array(stats, np.int64))
     finally:
         os.unlink(path)
 
 
-def _totals(answers: DataFrame, kind: int) -> dict[int, np.ndarray]:
+def _totals(answers: DataFrame) -> dict[int, np.ndarray]:
     """Sums of the ranges' statistics, by what they are of: six numbers each."""
 
     def run(batches):
@@ -158,7 +192,7 @@ def _totals(answers: DataFrame, kind: int) -> dict[int, np.ndarray]:
             rows = [unpacked(b.as_py())[0] for b in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"of": batch.column(0), **{f"s{i}": pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(6)}})
 
-    rows = answers.filter(F.col("kind") == kind).select("shard", "blob").mapInArrow(run, "of long, " + ", ".join(f"s{i} long" for i in range(6)))
+    rows = answers.filter(F.col("kind") == STATS).select("shard", "blob").mapInArrow(run, "of long, " + ", ".join(f"s{i} long" for i in range(6)))
     return {r[0]: np.array(r[1:], np.int64) for r in rows.groupBy("of").agg(*(F.sum(f"s{i}") for i in range(6))).collect()}
 
 
@@ -172,59 +206,72 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, [0, 0.01, 0.01, 0.01], [0, 1, 2, 3])
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
     Rows whose crc32(doc_id as text) mod `modulus` is `held`, or whose id is null, are
     held out; the rest train. A null text counts as empty: its one token is the end.
-    Without training rows the model is uniform over one unknown word.
+    Without training rows the model is uniform over one unknown word. order is the
+    length of the model's n-grams, 2 at least.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     docs = docs.select("doc_id", "text")
     parts = ranges_for(docs)
     shards = shard_table(docs, "lm")
 
     def count(shard, ids, texts, _):
-        s = _Shard(ids, texts, modulus, held)
-        bigrams, words = s.counts()
-        yield from blobs(BIGRAM, shard, s.keys[s.order], [narrow(bigrams[s.order])], parts)
-        yield from blobs(WORD, shard, s.word_keys[s.word_order], [narrow(words[s.word_order])], parts)
+        s = _Shard(ids, texts, modulus, held, order)
+        grams, words = s.counts()
+        yield from blobs(TOP, shard, s.top.keys[s.top.order], [narrow(grams[s.top.order])], parts)
+        by_key = s.levels[1].order
+        yield from blobs(WORD, shard, s.word_keys[by_key], [narrow(words[by_key])], parts)
+
+    def adder(k):
+        def add(shard, ids, texts, answers):
+            s = _Shard(ids, texts, modulus, held, order)
+            level, under = s.levels[k], s.levels[k - 1]
+            c, mine = s.counted(answers, k)
+            n, a, b, c = len(under.keys), level.context[mine], level.ending[mine], c[mine]
+            # Where nothing precedes the ending, it keeps its count.
+            alone = (level.first[mine] == 1) & (under.first[b] == 1) if k > 2 else np.zeros(len(b), bool)
+            columns = [np.bincount(a, c, n), np.bincount(a[c == 1], minlength=n), np.bincount(a[c == 2], minlength=n), np.bincount(a[c > 2], minlength=n), np.bincount(b, np.where(alone, c, 1), n)]
+            yield from blobs(LEVEL + k - 1, shard, under.keys[under.order], [narrow(x.astype(np.int64)[under.order]) for x in columns], parts)
+
+        return add
 
     counted = materialise(answer(ask(shards, None, count), _answer_counts), "counts")
-    back = counted.filter(F.col("kind") != STATS1)
-
-    def add(shard, ids, texts, answers):
-        s = _Shard(ids, texts, modulus, held)
-        c, mine = s.restored(answers, BIGRAM, 2)
-        mine, n = mine > 0, len(s.word_keys)
-        a, b, c = s.first[mine], s.second[mine], c[mine]
-        columns = [np.bincount(a, c, n), np.bincount(a[c == 1], minlength=n), np.bincount(a[c == 2], minlength=n), np.bincount(a[c > 2], minlength=n), np.bincount(b, minlength=n)]
-        yield from blobs(CONTEXT, shard, s.word_keys[s.word_order], [narrow(x.astype(np.int64)[s.word_order]) for x in columns], parts)
-
-    words = materialise(answer(ask(shards, back, add), _answer_words), "words")
-    first, second = _totals(counted, STATS1), _totals(words, STATS2)
+    totals, back = _totals(counted), counted.filter(F.col("kind") != STATS)
+    both = newest = back
+    for k in range(order, 1, -1):
+        under = materialise(answer(ask(shards, newest, adder(k)), _answer_words), "words")
+        totals |= _totals(under)
+        newest = under.filter(F.col("kind") != STATS)
+        both = both.unionByName(newest)
     none = np.zeros(6, np.int64)
-    of_bigrams, of_words, of_follow = first.get(BIGRAM, none), first.get(WORD, none), second.get(CONTEXT, none)
-    d2, d1 = discounts(of_bigrams), discounts(of_follow)
+    of_words, of_follow = totals.get(WORD, none), totals.get(LEVEL + 1, none)
+    d = {k: discounts(totals.get(TOP if k == order else LEVEL + k, none)) for k in range(1, order + 1)}
     n_train, n_words, n_follow = int(of_words[4]), int(of_words[5]), int(of_follow[4])
-    left1 = (d1[1] * of_follow[0] + d1[2] * of_follow[1] + d1[3] * of_follow[5]) / n_follow if n_follow else 1.0
+    left1 = (d[1][1] * of_follow[0] + d[1][2] * of_follow[1] + d[1][3] * of_follow[5]) / n_follow if n_follow else 1.0
 
     def scored(shard, ids, texts, answers):
-        s = _Shard(ids, texts, modulus, held)
-        c, _ = s.restored(answers, BIGRAM, 2)
+        s = _Shard(ids, texts, modulus, held, order)
         (raw,) = s.restored(answers, WORD, 1)
-        total, once, twice, more, follow = s.restored(answers, CONTEXT, 5)
-        p1 = (np.maximum(follow - d1[np.minimum(follow, 3)], 0) / n_follow if n_follow else 0.0 * follow) + left1 / (n_words + 1)
-        whole = np.maximum(total[s.first], 1)
-        left = (d2[1] * once + d2[2] * twice + d2[3] * more)[s.first] / whole
-        p2 = np.maximum(c - d2[np.minimum(c, 3)], 0) / whole + np.where(total[s.first] > 0, left, 1.0) * p1[s.second]
+        follow = s.restored(answers, LEVEL + 1, 5)[4]
+        p = (np.maximum(follow - d[1][np.minimum(follow, 3)], 0) / n_follow if n_follow else 0.0 * follow) + left1 / (n_words + 1)
+        for k in range(2, order + 1):
+            level, (c, _) = s.levels[k], s.counted(answers, k)
+            total, once, twice, more = s.restored(answers, LEVEL + k - 1, 4)
+            whole = np.maximum(total, 1)[level.context]
+            left = (d[k][1] * once + d[k][2] * twice + d[k][3] * more)[level.context] / whole
+            p = np.maximum(c - d[k][np.minimum(c, 3)], 0) / whole + np.where(total[level.context] > 0, left, 1.0) * p[level.ending]
         n = len(ids)
         base = np.log10((raw + 1) / (n_train + n_words + 1))
         cols = {
             "doc_id": pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), "held_out": ~s.train,
             "n_tokens": np.bincount(s.doc, minlength=n).astype(np.int64), "n_known": np.bincount(s.doc[raw[s.tokens] > 0], minlength=n).astype(np.int64),
-            "train_tokens": np.full(n, n_train, np.int64), "base_score": np.bincount(s.doc, base[s.tokens], n), "score": np.bincount(s.doc, np.log10(p2)[s.bigram_of], n),
+            "train_tokens": np.full(n, n_train, np.int64), "base_score": np.bincount(s.doc, base[s.tokens], n), "score": np.bincount(s.doc, np.log10(p)[s.top.at], n),
         }
         yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
 
-    both = back.unionByName(words.filter(F.col("kind") != STATS2))
     return finish(shards, both, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -293,6 +293,42 @@ def test_language_model(spark, texts):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_higher_order(spark, texts, order):
+    made = [*texts[:60], None, "", "unseen words only"]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in kneser_ney.score(df, order=order).collect()}
+    tok = [[*WORD.findall(low(t)), "\0end"] for t in made]
+    train = [w for i, w in enumerate(tok) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def grams(w):
+        w = [*["\0begin"] * (order - 1), *w]
+        return [tuple(w[i : i + order]) for i in range(len(w) - order + 1)]
+
+    counts = {order: Counter(g for w in train for g in grams(w))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter()
+        for g, c in counts[k + 1].items():
+            counts[k][g[1:]] += c if k > 1 and g[0] == g[1] == "\0begin" else 1
+    d = {k: kneser_ney.discounts(np.array([list(c.values()).count(i) for i in (1, 2, 3, 4)])) for k, c in counts.items()}
+    total, left = Counter(), Counter()
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[k, g[:-1]] += n
+            left[k, g[:-1]] += d[k][min(n, 3)]
+    v = len({x for w in train for x in w})
+
+    def p(g):
+        k = len(g)
+        under = p(g[1:]) if k > 1 else 1 / (v + 1)
+        n = counts[k][g]
+        return (max(n - d[k][min(n, 3)], 0) + left[k, g[:-1]] * under) / total[k, g[:-1]] if total[k, g[:-1]] else under
+
+    for i, w in enumerate(tok):
+        assert got[i].score == pytest.approx(sum(math.log10(p(g)) for g in grams(w)))
+    assert len(got) == len(made) and {g.train_tokens for g in got.values()} == {sum(map(len, train))}
+
+
 # ---- 5 ----
 
 
