@@ -23,18 +23,22 @@ def let(value: Column, f) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Soft hyphens out, ligatures spelt out, hyphenated line ends joined, quotes straightened, white space collapsed. Null gives an empty string."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "­", "")
-    for sign, letters in LIGATURES.items():
+    out = F.coalesce(text, F.lit(""))
+    for sign, letters in {"­": "", **LIGATURES, "‘": "'", "’": "'", "“": '"', "”": '"'}.items():
         out = F.replace(out, F.lit(sign), F.lit(letters))
     out = F.regexp_replace(out, rf"([A-Za-z])-{P.SPACE}+([a-z])", "$1$2")
-    out = F.regexp_replace(F.regexp_replace(out, "[‘’]", "'"), "[“”]", '"')
-    return F.trim(F.regexp_replace(out, f"{P.SPACE}+", " "))
+    # Single blanks, which most white space is, are no match.
+    return F.trim(F.regexp_replace(out, f"{P.OTHER_SPACE}{P.SPACE}*| {P.SPACE}+", " "))
+
+
+def normalize_again(text: Column) -> Column:
+    """normalize_text() of what was cut from a normalised text at its blanks: only a second hyphen of a chain such as "a- b- c" can still change."""
+    return F.when(text.contains("- "), normalize_text(text)).otherwise(F.coalesce(text, F.lit("")))
 
 
 def tokens(normal: Column) -> Column:
     """Words of a normalised text without stop words and single letters, repeats kept."""
-    stop = F.array(*(F.lit(w) for w in P.STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(normal), F.lit(TOKEN), F.lit(0)), lambda t: ~F.array_contains(stop, t) & (F.length(t) > 1))
+    return F.filter(F.regexp_extract_all(F.lower(normal), F.lit(TOKEN), F.lit(0)), lambda t: (F.length(t) > 1) & ~t.isin(*P.STOP_WORDS))
 
 
 def terms(words: Column) -> Column:
@@ -54,9 +58,9 @@ def words(text: Column) -> Column:
     return F.split(text, r"\s+", -1)
 
 
-def n_words(text: Column) -> Column:
-    """Number of non-empty pieces."""
-    return F.size(F.filter(words(text), lambda w: w != ""))
+def n_words(normal: Column) -> Column:
+    """Number of pieces between blanks of a normalised text; none in an empty one."""
+    return F.when(normal == "", 0).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1)
 
 
 def join_tokens(items: Column) -> Column:

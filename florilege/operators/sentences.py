@@ -12,20 +12,34 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 
 
+SPLIT_BYTES = 16 << 20  # of input for each core, from which on a scan has splits enough
+
+
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs as it is, or if it is too small to keep all cores busy (few row groups, maybe one), dealt out by the key.
+
+    What follows works on each text for long, and windows by the key reuse the partitioning. The rows stay the same.
+    """
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores, key) if size < cores * SPLIT_BYTES else docs
+
+
 def sentence_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, order (from 0), text, section, page_index of the sentences of flat texts."""
-    normal = docs.select("doc_id", text.normalize_text(F.col(text_col)).alias("_n"))
+    """doc_id, order (from 0), text (normalised), section, page_index of the sentences of flat texts."""
+    normal = spread(docs.select("doc_id", text_col)).select("doc_id", text.normalize_text(F.col(text_col)).alias("_n"))
     return normal.select("doc_id", F.posexplode(text.sentences(F.col("_n"))).alias("order", "text")).withColumns({"section": F.lit(""), "page_index": F.lit(0)})
 
 
 def body(sentences: DataFrame) -> DataFrame:
-    """Sentences that no noise rule rejects."""
+    """Sentences that no noise rule rejects. Their texts are normalised, as sentence_table() and the builder give them."""
     flagged = None
     for name in ("front_matter", "in_table", "reference"):
         if name in sentences.columns:
             flagged = F.col(name) if flagged is None else flagged | F.col(name)
     section = F.col("section") if "section" in sentences.columns else None
-    return sentences.filter(rules.noise_reason(F.col("text"), section, flagged).isNull())
+    return sentences.filter(~rules.is_noise(F.col("text"), section, flagged, normal=True))
 
 
 def section_carry_forward(lines: DataFrame) -> DataFrame:
@@ -39,7 +53,7 @@ def section_carry_forward(lines: DataFrame) -> DataFrame:
 
 def term_frequency(sentences: DataFrame) -> DataFrame:
     """doc_id, order, term, tf, pos (where the term first stands in its sentence)."""
-    words = sentences.select("doc_id", "order", text.tokens(text.normalize_text(F.col("text"))).alias("_w"))
+    words = sentences.select("doc_id", "order", text.tokens(text.normalize_again(F.col("text"))).alias("_w"))
     each = words.select("doc_id", "order", F.posexplode(text.terms(F.col("_w"))).alias("pos", "term"))
     return each.groupBy("doc_id", "order", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
 
@@ -68,7 +82,7 @@ def vectors(sentences: DataFrame, most: int = 16_000, share: float = 0.96) -> Da
     """tfidf() of term_frequency() and vocabulary() in one pass: documents are shuffled once, as sentences, and the rest are windows within them."""
     doc = Window.partitionBy("doc_id")
     counted = sentences.select("doc_id", "order", "text", F.count("*").over(doc).alias("n"))
-    words = counted.select("doc_id", "order", "n", text.tokens(text.normalize_text(F.col("text"))).alias("_w"))
+    words = counted.select("doc_id", "order", "n", text.tokens(text.normalize_again(F.col("text"))).alias("_w"))
     each = words.select("doc_id", "order", "n", F.posexplode(text.terms(F.col("_w"))).alias("pos", "term"))
     tf = each.groupBy("doc_id", "order", "n", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
     term = Window.partitionBy("doc_id", "term")
@@ -110,6 +124,21 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) > 0) & (norm(b) > 0), dot / (norm(a) * norm(b))).otherwise(0.0)
 
 
+def sparse_summary_similarity(sentences: DataFrame, summaries: DataFrame) -> DataFrame:
+    """doc_id, order, similarity: the cosine of each sentence's vector and the summary's (doc_id, text), both in the sentences' vocabulary and weights; 0 without common terms.
+
+    The documented form. The code that this engine re-expresses builds each side its own
+    vocabulary, in which nothing is comparable; its result is 0 throughout.
+    """
+    tf = term_frequency(sentences)
+    vocab = vocabulary(tf, sentences)
+    v, s = tfidf(tf, vocab), tfidf(term_frequency(summaries.select("doc_id", F.lit(0).alias("order"), text.normalize_text(F.col("text")).alias("text"))), vocab)
+    own = norms(s).select("doc_id", F.col("norm").alias("_ns"))
+    dots = v.join(s.select("doc_id", "term", F.col("value").alias("_s")), ["doc_id", "term"]).groupBy("doc_id", "order").agg(F.sum(F.col("value") * F.col("_s")).alias("_dot"))
+    both = dots.join(norms(v), ["doc_id", "order"]).join(own, "doc_id").select("doc_id", "order", (F.col("_dot") / (F.col("norm") * F.col("_ns"))).alias("similarity"))
+    return sentences.select("doc_id", "order").join(both, ["doc_id", "order"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
 def length_score(content: Column) -> Column:
     """A bell around 18 words with a deviation of 12."""
     return F.exp(-F.pow(F.size(text.words(content)) - 18, F.lit(2)) / 288)
@@ -166,12 +195,19 @@ def matrix_stats(pairs: DataFrame, x: str = "similarity") -> DataFrame:
     return pairs.groupBy("doc_id").agg(F.stddev_pop(x).alias("deviation")).withColumn("penalty", F.col("deviation") * 0.1)
 
 
+def small(table: DataFrame, rows: int = 10_000, numbers: int = 4_000_000, vector_col: str | None = None) -> DataFrame:
+    """The table, for a broadcast: after a check that it has at most so many rows, and numbers in its vectors."""
+    size = F.sum(F.size(vector_col)) if vector_col else F.lit(0)
+    n, total = table.limit(rows + 1).agg(F.count("*"), size).first()
+    if n > rows or (total or 0) > numbers:
+        raise ValueError(f"a table of at most {rows} rows and {numbers} numbers is needed here")
+    return F.broadcast(table)
+
+
 def nearest_label(vectors: DataFrame, prototypes: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, label, score: the prototype (pos, label, vector; a small, checked table) of the largest cosine; ties to the first."""
-    most = prototypes.limit(10_001).count()
-    if most > 10_000:
-        raise ValueError("prototypes must be at most 10,000 rows")
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(prototypes.select("pos", "label", F.col("vector").alias("p"))))
+    """id, label, score: the prototype (pos, label, vector; a small table, whose size is checked) of the largest cosine; ties to the first."""
+    held = small(prototypes.select("pos", "label", F.col("vector").alias("p")), vector_col="p")
+    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(held)
     best = pairs.groupBy("id").agg(F.max(F.struct(dense_cosine(F.col("v"), F.col("p")).alias("score"), (-F.col("pos")).alias("first"), "label")).alias("b"))
     return best.select("id", F.col("b.label").alias("label"), F.col("b.score").alias("score"))
 
@@ -182,4 +218,4 @@ def paper_text(sentences: DataFrame, most: int = 128_000) -> DataFrame:
     if "front_matter" in sentences.columns:
         kept = kept.filter(~F.col("front_matter"))
     parts = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "text"))).alias("p"))
-    return parts.select("doc_id", F.substring(text.normalize_text(F.array_join("p.text", " ")), 1, most).alias("text"))
+    return parts.select("doc_id", F.substring(text.normalize_again(F.array_join("p.text", " ")), 1, most).alias("text"))

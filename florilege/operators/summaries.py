@@ -58,6 +58,25 @@ def retried(call: Callable, attempts: int = 3, wait: float = 2.0, sleep: Callabl
     return run
 
 
+def with_fallback(first: Callable, second: Callable) -> Callable:
+    """first, and where it fails, second: another source of the same summaries or embeddings."""
+
+    def run(*args):
+        try:
+            return first(*args)
+        except Exception:
+            return second(*args)
+
+    return run
+
+
+def by_index(items: list[dict], n: int) -> list[list[float]]:
+    """The vectors of a service's answer, items of index and embedding in any order, in the order of the n texts sent."""
+    if sorted(x["index"] for x in items) != list(range(n)):
+        raise ValueError(f"{len(items)} vectors for {n} texts")
+    return [x["embedding"] for x in sorted(items, key=lambda x: x["index"])]
+
+
 def estimate_tokens(text: str) -> int:
     return sum(math.ceil(len(u) / 3) if u[0].isalnum() else 1 for u in _UNIT.findall(text or ""))
 
@@ -141,19 +160,25 @@ def _joined(parts: DataFrame, by: str) -> DataFrame:
     return p.select("doc_id", F.array_join("p.chunk", by).alias("text"))
 
 
-def summarise(docs: DataFrame, n: int = 10, model: Summariser = lead_summary, map_reduce: bool = False, chunk_sentences: int = 10, rounds: int = 8) -> DataFrame:
+def summarise(docs: DataFrame, n: int = 10, model: Summariser = lead_summary, map_reduce: bool = False, chunk_sentences: int = 10, rounds: int = 8, strict: bool = False, most: int | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
     """doc_id, text: a summary of n sentences of each document.
 
     With map_reduce, chunks of chunk_sentences are summarised side by side, and
-    their summaries again in chunks of 2n while there are several, `rounds` times at most.
+    their summaries again in chunks of 2n while there are several, `rounds` times at most;
+    what is in several parts then is returned as it is, or if strict is an error (as for a
+    remote model, which has 16 rounds). most: characters of a text that the model gets (a
+    remote one gets 128,000). keep: caches a round's summaries, which the next rounds read;
+    whoever passes it can release them.
     """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if most is not None:
+        whole = whole.select("doc_id", F.substring("text", 1, most).alias("text"))
     if not map_reduce:
         return _summarised(whole.select("doc_id", F.lit(0).alias("part_no"), F.lit(n).alias("n"), F.col("text").alias("chunk")), model).select("doc_id", F.col("chunk").alias("text"))
     chunks = whole.select("doc_id", T.chunks_by_sentences(F.col("text"), max(2, chunk_sentences)).alias("c"))
     each = F.greatest(F.lit(1), F.ceil(F.lit(2 * n) / F.size("c")))
     mapped = _summarised(chunks.select("doc_id", each.alias("n"), F.posexplode("c").alias("part_no", "chunk")), model)
-    state, done = _joined(mapped, "\n").persist(), None
+    state, done = keep(_joined(mapped, "\n")), None
     for _ in range(rounds):
         parts = state.select("doc_id", "text", T.chunks_by_sentences(F.col("text"), max(1, 2 * n)).alias("c"))
         ready = parts.filter(F.size("c") < 2).select("doc_id", "text")
@@ -161,5 +186,7 @@ def summarise(docs: DataFrame, n: int = 10, model: Summariser = lead_summary, ma
         rest = parts.filter(F.size("c") >= 2)
         if rest.isEmpty():
             return done
-        state = _joined(_summarised(rest.select("doc_id", F.lit(n).alias("n"), F.posexplode("c").alias("part_no", "chunk")), model), "\n\n").persist()
+        state = keep(_joined(_summarised(rest.select("doc_id", F.lit(n).alias("n"), F.posexplode("c").alias("part_no", "chunk")), model), "\n\n"))
+    if strict and not state.filter(F.size(T.chunks_by_sentences(F.col("text"), max(1, 2 * n))) >= 2).isEmpty():
+        raise RuntimeError(f"summaries are not reduced after {rounds} rounds")
     return done.unionByName(state)

@@ -11,10 +11,11 @@ from ..functions import rules
 from ..functions import text as T
 from ..functions.config import DEFAULT_LABELS, parse_labels
 from ..operators import annotations, layout, mmr, sentences
-from ..operators.builder import sentences_from_words
+from ..operators.builder import lines_from_words, merged_rects, sentences_from_words
 from ..operators.summaries import chunks_by_tokens, map_budget, summarise
 from ..sources import pages
-from . import oracle
+from . import oracle, oracle_derived
+from .annotate import KeySentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    return sentences.spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +56,12 @@ def _r(c: Column | str, n: int = 6) -> Column:
 
 @query
 def normalize_text(spark, d):
-    return _docs(spark, d).select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
+    return sentences.spread(_docs(spark, d)).select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
 
 
 @query
 def tokenize(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(T.tokens(T.normalize_text(F.col("text"))), " ").alias("tokens"))
+    return sentences.spread(_docs(spark, d)).select("doc_id", F.array_join(T.tokens(T.normalize_text(F.col("text"))), " ").alias("tokens"))
 
 
 @query
@@ -83,13 +84,14 @@ def section_carry_forward(spark, d):
 @query
 def reference_entry(spark, d):
     s = _sentences(spark, d)
-    f = rules.reference_features(T.normalize_text(F.col("text")))
-    return s.select("doc_id", F.col("order").alias("sentence_no"), *(c.alias(f"has_{k}") for k, c in f.items() if k != "author"), rules.is_reference_entry(F.col("text")).alias("is_entry"))
+    f = rules.reference_features(F.col("n"))
+    s = s.withColumn("n", T.normalize_again(F.col("text")))
+    return s.select("doc_id", F.col("order").alias("sentence_no"), *(c.alias(f"has_{k}") for k, c in f.items() if k != "author"), rules.is_reference_entry(F.col("text"), normal=True).alias("is_entry"))
 
 
 @query
 def noise_reason(spark, d):
-    return _sentences(spark, d).select("doc_id", F.col("order").alias("sentence_no"), rules.noise_reason(F.col("text")).alias("reason"))
+    return _sentences(spark, d).select("doc_id", F.col("order").alias("sentence_no"), rules.noise_reason(F.col("text"), normal=True).alias("reason"))
 
 
 @query
@@ -105,12 +107,12 @@ def token_estimate(spark, d):
 
 @query
 def chunk_by_sentences(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(T.chunks_by_sentences(F.col("text"), 10)).alias("chunk_no", "chunk"))
+    return sentences.spread(_docs(spark, d)).select("doc_id", F.posexplode(T.chunks_by_sentences(F.col("text"), 10)).alias("chunk_no", "chunk"))
 
 
 @query
 def chunk_by_tokens(spark, d):
-    return chunks_by_tokens(_docs(spark, d), map_budget(4096)["input"])
+    return chunks_by_tokens(sentences.spread(_docs(spark, d)), map_budget(4096)["input"])
 
 
 @query
@@ -210,8 +212,8 @@ def shortlist(spark, d):
 
 
 def _mmr_input(spark, d):
-    body = sentences.importance(_body(spark, d)).persist()
-    return body, sentences.vectors(body).persist()
+    body = sentences.importance(_body(spark, d))
+    return body, sentences.vectors(body)
 
 
 @query
@@ -238,8 +240,8 @@ def mmr_full(spark, d):
 def similarity_matrix_stats(spark, d):
     vec = table(spark, d, "embeddings")
     first = vec.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    protos = vec.join(F.broadcast(first.select("vec_id")), "vec_id").select(F.col("label").alias("proto"), F.col("embedding").alias("p"))
-    pairs = vec.join(F.broadcast(protos)).select(F.col("label").cast("long").alias("doc_id"), sentences.dense_cosine(F.col("embedding"), F.col("p")).alias("similarity"))
+    protos = vec.join(sentences.small(first.select("vec_id")), "vec_id").select(F.col("label").alias("proto"), F.col("embedding").alias("p"))
+    pairs = vec.join(sentences.small(protos, vector_col="p")).select(F.col("label").cast("long").alias("doc_id"), sentences.dense_cosine(F.col("embedding"), F.col("p")).alias("similarity"))
     return sentences.matrix_stats(pairs).select("doc_id", _r("deviation").alias("deviation"), _r("penalty").alias("penalty"))
 
 
@@ -247,7 +249,7 @@ def similarity_matrix_stats(spark, d):
 def nearest_label(spark, d):
     vec = table(spark, d, "embeddings")
     first = vec.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    protos = vec.join(F.broadcast(first.select("vec_id")), "vec_id").select(F.col("label").alias("pos"), "label", F.col("embedding").alias("vector"))
+    protos = vec.join(sentences.small(first.select("vec_id")), "vec_id").select(F.col("label").alias("pos"), "label", F.col("embedding").alias("vector"))
     return sentences.nearest_label(vec, protos).select("id", "label", _r("score").alias("score"))
 
 
@@ -257,7 +259,7 @@ def dense_summary_similarity(spark, d):
     vec = table(spark, d, "embeddings")
     mean = vec.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     mean = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).select("label", F.col("v.x").alias("summary"))
-    return vec.join(F.broadcast(mean), "label").select("vec_id", _r(sentences.dense_cosine(F.col("embedding"), F.col("summary"))).alias("similarity"))
+    return vec.join(sentences.small(mean, vector_col="summary"), "label").select("vec_id", _r(sentences.dense_cosine(F.col("embedding"), F.col("summary"))).alias("similarity"))
 
 
 # ---- layout ----
@@ -297,7 +299,7 @@ def reading_order_bands(spark, d):
 
 @query
 def table_line_profile(spark, d):
-    w = _page_words(spark, d).withColumn("line_no", F.floor(F.col("word_pos") / 100_000))
+    w = _page_words(spark, d).withColumn("line_no", F.shiftright("word_pos", 32))
     x2 = F.col("x2") - F.when(F.length("text") % 4 == 0, 20.0).otherwise(0.0)
     rows = w.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_pos", F.col("text").alias("text"), F.col("x1").alias("x1"), x2.alias("x2")))).alias("w"))
     p = layout.table_profile(F.array_join("w.text", " "), F.transform("w", lambda x: F.struct(x["text"].alias("text"), x["x1"].alias("x1"), x["x2"].alias("x2"))), F.lit(10.0), F.lit(612.0))
@@ -306,7 +308,7 @@ def table_line_profile(spark, d):
 
 @query
 def span_overlap_join(spark, d):
-    normal = _docs(spark, d).select("doc_id", T.normalize_text(F.col("text")).alias("t"))
+    normal = sentences.spread(_docs(spark, d)).select("doc_id", T.normalize_text(F.col("text")).alias("t"))
     windows = normal.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("t") / 200).cast("int"))).alias("order")).withColumns({"start": F.col("order") * 200, "stop": F.col("order") * 200 + 200})
     parts = F.split("t", " ", -1)
     ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")), lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.array_append(s["ends"], s["at"] + F.length(w)).alias("ends")))["ends"]
@@ -373,9 +375,133 @@ def summary_map_reduce(spark, d):
     return summarise(_docs(spark, d), 3, map_reduce=True)
 
 
+# ---- what the corpus has no cases of: derived from its tables ----
+
+
+@query
+def join_tokens(spark, d):
+    parts = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+|[^\\sA-Za-z0-9]"), F.lit(0))
+    return _lines(spark, d).select("doc_id", "line_no", T.join_tokens(parts).alias("joined"))
+
+
+@query
+def clean_summary_sentence(spark, d):
+    lead = F.element_at(F.array(*(F.lit(x) for x in ("12. [Method-2] ", " 3.[goal]", "[9] ", "7.5 ", ""))), (F.col("turn") % 5 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.clean_summary_sentence(F.concat(lead, "text")).alias("sentence"))
+
+
+@query
+def summary_prompt(spark, d):
+    labels = [{"name": "[goal]", "description": "What is wanted"}, {"name": "[result]", "description": "What was found"}]
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(T.summary_prompt(F.col("text"), 3)).alias("plain"), F.md5(T.summary_prompt(F.col("text"), 5, labels)).alias("labelled"))
+
+
+@query
+def format_bytes(spark, d):
+    n = F.col("n_chars") * F.col("n_chars") * F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 77).otherwise(7777) * 2 + 1
+    return table(spark, d, "documents").select("doc_id", T.format_bytes(n).alias("size"))
+
+
+HEADINGS = ("References", "BIBLIOGRAPHY ", "Works  cited", "literature\tcited", "Reference list", "Appendix", "Supplementary Material", "supplementary information", "Methods", "Reference")
+
+
+def _headed(spark, d):
+    return _lines(spark, d).withColumn("text", F.element_at(F.array(*(F.lit(h) for h in HEADINGS)), (F.length("text") % len(HEADINGS) + 1).cast("int")))
+
+
+@query
+def reference_headings(spark, d):
+    t = F.col("text")
+    return _headed(spark, d).select("doc_id", "line_no", T.is_reference_heading(t).alias("opens"), T.is_post_reference_heading(t).alias("ends"))
+
+
+@query
+def reference_pages(spark, d):
+    # Lines of some lengths become entries, headings or blanks; eight lines to a page.
+    n = F.length("text")
+    entry = F.concat(F.lit("["), n.cast("string"), F.lit("] Smith, J. A., Journal of Things "), (F.lit(1900) + n % 100).cast("string"))
+    made = _lines(spark, d).withColumn("text", F.when(n % 3 == 0, entry).when(n % 11 == 0, "References").when(n % 13 == 0, " ").otherwise(F.col("text")))
+    return rules.reference_pages(made.withColumn("page_index", F.floor(F.col("line_no") / 8).cast("int")))
+
+
+def _sectioned(spark, d):
+    """Sentences with sections, and front matter, by their place."""
+    named = F.element_at(F.array(*(F.lit(x) for x in ("Abstract", "Methods", "References", "", "results"))), (F.col("order") % 5 + 1).cast("int"))
+    return _sentences(spark, d).withColumn("section", named).withColumn("front_matter", F.col("order") % 7 == 6)
+
+
+@query
+def body_of_sections(spark, d):
+    return sentences.body(_sectioned(spark, d)).select("doc_id", F.col("order").alias("sentence_no"), "section")
+
+
+@query
+def paper_text_of_sections(spark, d):
+    return sentences.paper_text(_sectioned(spark, d).drop("front_matter").withColumn("front_matter", F.col("order") % 7 == 6)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def sparse_summary_similarity(spark, d):
+    body = _body(spark, d)
+    summary = body.filter("order % 3 = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", "text"))).alias("p")).select("doc_id", F.array_join("p.text", " ").alias("text"))
+    return sentences.sparse_summary_similarity(body, summary).select("doc_id", F.col("order").alias("sentence_no"), _r("similarity").alias("similarity"))
+
+
+@query
+def mmr_sections_k3(spark, d):
+    body, vectors = _mmr_input(spark, d)
+    body = body.withColumn("section", (F.col("order") % 3).cast("string"))
+    return mmr.select_table(body, vectors, 3).select("doc_id", F.col("order").alias("sentence_no"), "pick")
+
+
+@query
+def mmr_coverage_k2(spark, d):
+    body, vectors = _mmr_input(spark, d)
+    cover = body.select("doc_id", "order", F.explode(F.array(*map(F.lit, range(3)))).alias("col"))
+    cover = cover.withColumn("similarity", (F.col("order") * 37 + F.col("col") * 53 + F.col("doc_id")) % 101 / F.lit(101.0))
+    return mmr.select_table(body, vectors, 2, summary=cover).select("doc_id", F.col("order").alias("sentence_no"), "pick")
+
+
+@query
+def pages_from_arrays(spark, d):
+    line = F.col("line_no") % 60
+    leaf = F.concat(F.lit("[36,"), (line * 12 + 12).cast("string"), F.lit(","), (F.lit(36) + F.length("text") * 6).cast("string"), F.lit(","), (line * 12 + 22).cast("string"), F.lit(","), F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"), F.lit("]"))
+    page = _lines(spark, d).groupBy("doc_id", F.floor(F.col("line_no") / 60).alias("p")).agg(F.array_sort(F.collect_list(F.struct("line_no", leaf.alias("leaf")))).alias("l"))
+    data = page.select("doc_id", "p", F.concat(F.lit("[612,792,["), F.array_join("l.leaf", ","), F.lit("]]")).alias("page")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "page"))).alias("x"))
+    # Rounded beside the ties, which sums in another order would break.
+    words = pages.words_from_json(data.select("doc_id", F.concat(F.lit('{"pages":['), F.array_join("x.page", ","), F.lit("]}")).alias("data")))
+    return words.filter("text IS NOT NULL").select("doc_id", "page_index", "word_pos", "text", *(_r(F.col(c) + 0.00001, 4).alias(c) for c in ("x1", "x2")), "y1", "y2", "top")
+
+
+@query
+def layout_lines(spark, d):
+    return lines_from_words(pages.words_from_text(_docs(spark, d))).select("doc_id", "page_index", "line", "text", _r("left", 4).alias("x_left"), _r("right", 4).alias("x_right"))
+
+
+@query
+def layout_rows(spark, d):
+    return merged_rects(pages.words_from_text(_docs(spark, d)))
+
+
+@query
+def annotation_comments(spark, d):
+    picks = sentences.top_sentences(sentences.importance(_body(spark, d)).withColumn("importance", F.round("importance", 9)))
+    n = F.length("text")
+    picks = picks.withColumns({"page_height": F.lit(792.0), "rects": F.array(F.array(F.lit(36.0), F.lit(700.0), F.lit(36.0) + n, F.lit(710.0))), "section": F.when(n % 2 == 0, "methods").otherwise(""), "importance": F.lit(0.001) * (n % 997), "tag": F.when(n % 3 == 0, " result ").when(n % 3 == 1, ""), "tag_description": F.when(n % 5 == 0, F.lit(None)).otherwise(F.lit("Found")), "tag_color": F.lit(None).cast("string")})
+    return annotations.annotation_records(picks).select("doc_id", "text", "key", "type", "comment", F.col("position.page_index").alias("page_index"), F.col("position.rects")[0][2].alias("x2"))
+
+
+@query
+def annotate_documents(spark, d):
+    """The product itself: documents laid out as pages, to annotation records. A heading comes first, as what precedes any is front matter."""
+    docs = _docs(spark, d).withColumn("text", F.concat(F.lit("1 Introduction\n"), F.col("text")))
+    out = KeySentences().transform(pages.words_from_text(docs))
+    return out.select("doc_id", "key", "text", "color", "page_label", "sort_index", "comment", F.array_join("tags.name", ",").alias("tags"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.sql()
+    return {**oracle.sql(), **oracle_derived.sql()}

@@ -15,7 +15,9 @@ def _q(s: str) -> str:
 
 def _re(pattern: str) -> str:
     """A pattern with RE2's ASCII word boundary for the look-around one."""
-    return _q(pattern.replace(P.B, r"\b"))
+    for boundary in (P.B, P.START, P.STOP):
+        pattern = pattern.replace(boundary, r"\b")
+    return _q(pattern)
 
 
 def _list(items) -> str:
@@ -101,7 +103,7 @@ words AS (SELECT doc_id, line_no, i - 1 AS part, p[i] AS word, coalesce(list_sum
 
 def _page_words(per_page: int) -> str:
     return f"""lines AS ({LINES}), {WORDS},
-pw AS (SELECT doc_id, line_no // {per_page} AS page_index, line_no, line_no * 100000 + part AS word_pos, word AS text, 36.0::DOUBLE + off * 6 AS x1, 780.0::DOUBLE - line_no % {per_page} * 12 - 10 AS y1, 36.0::DOUBLE + off * 6 + length(word) * 6 AS x2, 780.0::DOUBLE - line_no % {per_page} * 12 AS y2 FROM words)"""
+pw AS (SELECT doc_id, line_no // {per_page} AS page_index, line_no, line_no * 4294967296 + part AS word_pos, word AS text, 36.0::DOUBLE + off * 6 AS x1, 780.0::DOUBLE - line_no % {per_page} * 12 - 10 AS y1, 36.0::DOUBLE + off * 6 + length(word) * 6 AS x2, 780.0::DOUBLE - line_no % {per_page} * 12 AS y2 FROM words)"""
 
 
 def _cos(a: str, b: str) -> str:
@@ -181,7 +183,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER B
 c AS (SELECT *, list_sum(list_transform(p, lambda x: greatest(1, length(x)))) + (len(p) - 1) * 0.55::DOUBLE AS u, unnest(range(0, len(p))) AS pos FROM b),
 d AS (SELECT *, CASE WHEN len(p) = 1 THEN 36.0::DOUBLE ELSE 36 + w * (coalesce(list_sum(list_transform(p[1:pos], lambda x: greatest(1, length(x)))), 0) + pos * 0.55::DOUBLE) / u END AS l FROM c)
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, p[pos + 1] AS word, round(l, 4) AS x_left, round(CASE WHEN pos = len(p) - 1 THEN 36 + raw ELSE least(36 + raw, l + w * greatest(1, length(p[pos + 1])) / u) END, 4) AS x_right FROM d""",
-        "layout_words": f"WITH {_page_words(12)} SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, CAST(word_pos AS INTEGER) AS word_pos, text, x1, y1, x2, y2 FROM pw",
+        "layout_words": f"WITH {_page_words(12)} SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, CAST(word_pos AS BIGINT) AS word_pos, text, x1, y1, x2, y2 FROM pw",
         "margin_signature_filter": margin,
         "reading_order_bands": f"""WITH l AS ({LINES}), a AS (SELECT doc_id, CAST(line_no // 40 AS INTEGER) AS page_index, CAST(line_no AS INTEGER) AS line, 780.0 - line_no % 40 * 12 AS cy, length(text) * 7 % 400 + 36 AS lf, length(text) * 7 % 400 + 36 + length(text) % 300 AS rt FROM l),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY cy DESC, lf, line) AS v, CAST(lf >= 612 * 0.48 AS INTEGER) AS side, CAST(lf < 612 * 0.42 AND rt > 612 * 0.58 AS INTEGER) AS span FROM a),
@@ -196,6 +198,6 @@ SELECT k.doc_id, CAST(window_no AS INTEGER) AS window_no, count(*) AS n_words FR
         "document_title": "SELECT doc_id AS attachment_id, coalesce(nullif(CASE WHEN item_id % 2 = 0 THEN substr(b.text, 1, 20) END, ''), nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), nullif(CASE WHEN doc_id % 5 <> 0 THEN source END, ''), 'PDF') AS title FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % 40",
         "existing_annotation_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "delete_auto_annotations": "SELECT doc_id, 'x,mine' AS tags FROM labels WHERE quality <> 1 AND toxic <> 1",
-        "sort_index": f"WITH {_page_words(60)} SELECT doc_id, CAST(word_pos AS INTEGER) AS word_pos, lpad(CAST(least(page_index, 99999) AS VARCHAR), 5, '0') || '|' || lpad(CAST(CAST(least(greatest(floor((792 - y2) * 100 + 0.5), 0), 999999) AS BIGINT) AS VARCHAR), 6, '0') || '|' || lpad(CAST(CAST(least(floor(x1 * 100 + 0.5), 99999) AS BIGINT) AS VARCHAR), 5, '0') AS sort_index FROM pw",
+        "sort_index": f"WITH {_page_words(60)} SELECT doc_id, CAST(word_pos AS BIGINT) AS word_pos, lpad(CAST(least(page_index, 99999) AS VARCHAR), 5, '0') || '|' || lpad(CAST(CAST(least(greatest(floor((792 - y2) * 100 + 0.5), 0), 999999) AS BIGINT) AS VARCHAR), 6, '0') || '|' || lpad(CAST(CAST(least(floor(x1 * 100 + 0.5), 99999) AS BIGINT) AS VARCHAR), 5, '0') AS sort_index FROM pw",
         "annotation_records": f"WITH {TOP} SELECT doc_id, text, {color} AS color, '1' AS page_label, '00000|008200|03600' AS sort_index, 'autoskim-key-sentence' || CASE WHEN length(text) % 3 = 0 THEN ',result' ELSE '' END AS tags FROM top",
     }

@@ -234,3 +234,60 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     extract_stream(stream, lambda b: sentences.sentence_table(b), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter(F.col("doc_id") == 1).count() >= 4
+
+
+def test_layout_of_long_texts(spark):
+    """Very many lines, and a very long line: places are exact, and linear to find."""
+    many, long = "\n".join(["a bc  d"] * 30_000), " ".join(["word"] * 200_000)
+    docs = spark.createDataFrame([(1, many), (2, long), (3, ""), (4, None)], "doc_id long, text string")
+    w = pages.words_from_text(docs)
+    got = {r.doc_id: r for r in w.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("word_pos").alias("d"), F.max("page_index").alias("p"), F.max("x2").alias("x")).collect()}
+    assert set(got) == {1, 2} and (got[1].n, got[1].d, got[1].p, got[1].x) == (90_000, 90_000, 499, 36 + 7 * 6) and (got[2].n, got[2].d, got[2].x) == (200_000, 200_000, 36 + 6 * (5 * 200_000 - 1))
+    assert [(r.text, r.x1) for r in w.filter("doc_id = 1 AND word_pos >= 4294967296 AND word_pos < 8589934592").orderBy("word_pos").collect()] == [("a", 36.0), ("bc", 48.0), ("d", 72.0)]
+
+
+def test_words_of_single_pages(spark):
+    df = spark.createDataFrame([(1, 4, json.dumps([600, 800, [10, 20, 60, 30, "hi you"]])), (1, 5, json.dumps([600, 800])), (2, 0, None)], "doc_id long, page_index int, data string")
+    assert [(r.page_index, r.text) for r in pages.words_from_pages(df).orderBy("page_index", "word_pos").collect()] == [(4, "hi"), (4, "you"), (5, None)]
+
+
+def test_sources_of_models():
+    def broken(*_):
+        raise OSError
+
+    assert summaries.with_fallback(broken, lambda x: x + 1)(1) == 2 and summaries.with_fallback(lambda x: x, broken)(1) == 1
+    assert summaries.by_index([{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}], 2) == [[1.0], [2.0]]
+    with pytest.raises(ValueError):
+        summaries.by_index([{"index": 1, "embedding": [2.0]}], 1)
+
+
+def test_summaries_that_do_not_shrink(spark):
+    docs = spark.createDataFrame([(1, "A b. " * 60), (2, "One.")], "doc_id long, text string")
+    grows = lambda texts, n: [t + " More. And more." * 9 for t in texts]
+    assert summaries.summarise(docs, 2, grows, map_reduce=True, rounds=2).count() == 2
+    with pytest.raises(RuntimeError):
+        summaries.summarise(docs, 2, grows, map_reduce=True, rounds=2, strict=True)
+    assert summaries.summarise(docs, 2, map_reduce=True, rounds=16, strict=True).count() == 2
+    assert {r.text for r in summaries.summarise(docs, 9, lambda t, n: t, most=4).collect()} == {"A b.", "One."}
+
+
+def test_exact_mode_compares_whole_values():
+    close = [0.5, 0.5 + 1e-12]
+    assert mmr.select(close, ["", ""], [{}, {}], 1) == [0] and mmr.select(close, ["", ""], [{}, {}], 1, digits=None) == [1]
+
+
+def test_broadcasts_are_checked(spark):
+    vec = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        sentences.nearest_label(vec, spark.range(10_001).select(F.col("id").alias("pos"), F.lit("x").alias("label"), F.array(F.lit(1.0)).alias("vector")))
+    with pytest.raises(ValueError):
+        sentences.nearest_label(vec, spark.range(9).select(F.col("id").alias("pos"), F.lit("x").alias("label"), F.array_repeat(F.lit(1.0), 500_000).alias("vector")))
+
+
+def test_caches_are_released(spark):
+    plan = KeySentences(Settings(compression_ratio=2.0))
+    plan.transform(pages.words_from_text(spark.createDataFrame([(1, TEXT)], "doc_id long, text string"))).collect()
+    held = list(plan._held)
+    assert held and all(df.is_cached for df in held)
+    plan.release()
+    assert not plan._held and not any(df.is_cached for df in held)

@@ -109,3 +109,39 @@ def test_chunks_and_tokens(spark):
     assert one(spark, "A b. C d. E f.", lambda x: T.chunks_by_sentences(x, 2)) == ["A b.  C d.", "E f."]
     assert one(spark, "", lambda x: T.chunks_by_sentences(x, 2)) == []
     assert one(spark, "abcd efg, 12", T.estimate_tokens) == 2 + 1 + 1 + 1
+
+
+def made_texts():
+    """Random strings over what the rules look at."""
+    import random
+
+    rnd = random.Random(5)
+    bits = [
+        "Smith, J. A.", "Journal of X", "et al.", "vol. 3", "1999", "2020a", "[3]", "12.", "doi: 10.1", "https://x.y", "www.a.b", "www", "doi", "pages", "no", "accessed", "a@b.co", ".+@x.org", "Figure 2", "Table IV", "tab. 1.2", "n/a", "NA", "3.14", "we", "The",
+        "results", "a-", "b", "c-", "\t", " ", "\n ", "­", "ﬁ", "“q”", "‘s’", "received", "published:", "copyright", "Funding:", "Acknowledgements", "References", "©", "--", "Anna and Bob", "Jones & Lee (2001)", "plain words of prose", "éa", "x_1999", "1999x9", "3", "7,5",
+    ]
+    return [rnd.choice(["", " "]).join(rnd.choice(bits) for _ in range(rnd.randrange(0, 9))) for _ in range(700)] + [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 100))) for _ in range(100)]
+
+
+def test_expressions_agree_with_the_plain_forms(spark):
+    texts = made_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    x = F.col("x")
+    got = df.select("i", T.normalize_text(x).alias("n"), rules.is_reference_entry(x).alias("e"), rules.is_back_matter_line(x).alias("b"), rules.is_front_matter_line(x, F.lit(0)).alias("f"), rules.is_table_caption(x).alias("t"), T.n_words(T.normalize_text(x)).alias("w")).orderBy("i").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert r.n == plain.normalize_text(t) and r.w == len(r.n.split())
+        assert (r.e, r.b, r.f, r.t) == (plain.is_reference_entry(t), plain.is_back_matter_line(t), plain.is_front_matter_line(t, 0), plain.is_table_caption(t)), t
+
+
+def test_noise_is_what_has_a_reason(spark):
+    texts = [plain.normalize_text(t) for t in made_texts()]
+    df = spark.createDataFrame([(t, s, f) for t in texts for s, f in (("", False), ("References", False), ("x", True))], "x string, s string, f boolean")
+    x, s, f = F.col("x"), F.col("s"), F.col("f")
+    got = df.select(x, rules.noise_reason(x, s, f).alias("r"), rules.noise_reason(x, s, f, normal=True).alias("q"), rules.is_noise(x, s, f, normal=True).alias("n")).collect()
+    assert all(r.r == r.q and (r.r is not None) == r.n for r in got) and {r.r for r in got} >= {None, "flag", "reference", "word_count", "publisher"}
+
+
+def test_cut_from_a_normalised_text(spark):
+    once = spark.createDataFrame([(t,) for t in made_texts()], "x string").select(T.normalize_text(F.col("x")).alias("x"))
+    assert once.filter(T.normalize_again(F.col("x")) != T.normalize_text(F.col("x"))).isEmpty()
+    assert one(spark, "a- b- c", lambda x: T.normalize_again(T.normalize_text(x))) == "abc"
