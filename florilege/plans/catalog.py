@@ -51,6 +51,11 @@ def _r(c: Column | str, n: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, n)
 
 
+def _beside(c: str) -> Column:
+    """Three decimals, rounded beside the ties, which sums in another order would break."""
+    return F.round(F.col(c) + 0.0000314159, 3)
+
+
 # ---- text ----
 
 
@@ -268,7 +273,7 @@ def dense_summary_similarity(spark, d):
 @query
 def fragment_split(spark, d):
     f = _lines(spark, d).select("doc_id", F.lit(0).alias("page_index"), F.col("line_no").alias("frag"), "text", F.lit(36.0).alias("x1"), F.lit(0.0).alias("y1"), (F.lit(36.0) + 6 * F.length("text")).alias("x2"), F.lit(10.0).alias("y2"))
-    return layout.split_fragments(f).select("doc_id", F.col("frag").alias("line_no"), "pos", "word", _r("left", 4).alias("x_left"), _r("right", 4).alias("x_right"))
+    return layout.split_fragments(f).select("doc_id", F.col("frag").alias("line_no"), "pos", "word", _beside("left").alias("x_left"), _beside("right").alias("x_right"))
 
 
 def _page_words(spark, d):
@@ -468,9 +473,8 @@ def pages_from_arrays(spark, d):
     leaf = F.concat(F.lit("[36,"), (line * 12 + 12).cast("string"), F.lit(","), (F.lit(36) + F.length("text") * 6).cast("string"), F.lit(","), (line * 12 + 22).cast("string"), F.lit(","), F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"), F.lit("]"))
     page = _lines(spark, d).groupBy("doc_id", F.floor(F.col("line_no") / 60).alias("p")).agg(F.array_sort(F.collect_list(F.struct("line_no", leaf.alias("leaf")))).alias("l"))
     data = page.select("doc_id", "p", F.concat(F.lit("[612,792,["), F.array_join("l.leaf", ","), F.lit("]]")).alias("page")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "page"))).alias("x"))
-    # Rounded beside the ties, which sums in another order would break.
     words = pages.words_from_json(data.select("doc_id", F.concat(F.lit('{"pages":['), F.array_join("x.page", ","), F.lit("]}")).alias("data")))
-    return words.filter("text IS NOT NULL").select("doc_id", "page_index", "word_pos", "text", *(_r(F.col(c) + 0.00001, 4).alias(c) for c in ("x1", "x2")), "y1", "y2", "top")
+    return words.filter("text IS NOT NULL").select("doc_id", "page_index", "word_pos", "text", *(_beside(c).alias(c) for c in ("x1", "x2")), "y1", "y2", "top")
 
 
 @query

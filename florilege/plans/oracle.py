@@ -182,7 +182,7 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER B
         "fragment_split": f"""WITH l AS ({LINES}), a AS (SELECT doc_id, line_no, {normal('text')} AS s, 6.0::DOUBLE * length(text) AS w FROM l), b AS (SELECT doc_id, line_no, string_split(s, ' ') AS p, greatest(0.1, w) AS w, w AS raw FROM a WHERE s <> ''),
 c AS (SELECT *, list_sum(list_transform(p, lambda x: greatest(1, length(x)))) + (len(p) - 1) * 0.55::DOUBLE AS u, unnest(range(0, len(p))) AS pos FROM b),
 d AS (SELECT *, CASE WHEN len(p) = 1 THEN 36.0::DOUBLE ELSE 36 + w * (coalesce(list_sum(list_transform(p[1:pos], lambda x: greatest(1, length(x)))), 0) + pos * 0.55::DOUBLE) / u END AS l FROM c)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, p[pos + 1] AS word, round(l, 4) AS x_left, round(CASE WHEN pos = len(p) - 1 THEN 36 + raw ELSE least(36 + raw, l + w * greatest(1, length(p[pos + 1])) / u) END, 4) AS x_right FROM d""",
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, p[pos + 1] AS word, round(l + 0.0000314159, 3) AS x_left, round(CASE WHEN pos = len(p) - 1 THEN 36 + raw ELSE least(36 + raw, l + w * greatest(1, length(p[pos + 1])) / u) END + 0.0000314159, 3) AS x_right FROM d""",
         "layout_words": f"WITH {_page_words(12)} SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, CAST(word_pos AS BIGINT) AS word_pos, text, x1, y1, x2, y2 FROM pw",
         "margin_signature_filter": margin,
         "reading_order_bands": f"""WITH l AS ({LINES}), a AS (SELECT doc_id, CAST(line_no // 40 AS INTEGER) AS page_index, CAST(line_no AS INTEGER) AS line, 780.0 - line_no % 40 * 12 AS cy, length(text) * 7 % 400 + 36 AS lf, length(text) * 7 % 400 + 36 + length(text) % 300 AS rt FROM l),

@@ -65,19 +65,25 @@ SELECT body.doc_id, body.sentence_no, round(coalesce(dot / (nv.norm * ns.norm),
     arrays = f"""WITH l AS ({LINES}), a AS (SELECT doc_id, line_no, {normal('text')} AS s, 6.0::DOUBLE * length(text) AS w FROM l), b AS (SELECT doc_id, line_no, string_split(s, ' ') AS p, greatest(0.1, w) AS w, w AS raw FROM a WHERE s <> ''),
 c AS (SELECT *, list_sum(list_transform(p, lambda x: greatest(1, length(x)))) + (len(p) - 1) * 0.55::DOUBLE AS u, unnest(range(0, len(p))) AS pos FROM b),
 e AS (SELECT *, CASE WHEN len(p) = 1 THEN 36.0::DOUBLE ELSE 36 + w * (coalesce(list_sum(list_transform(p[1:pos], lambda x: greatest(1, length(x)))), 0) + pos * 0.55::DOUBLE) / u END AS x FROM c)
-SELECT doc_id, CAST(line_no // 60 AS INTEGER) AS page_index, row_number() OVER (PARTITION BY doc_id, line_no // 60 ORDER BY line_no, pos) - 1 AS word_pos, p[pos + 1] AS text, round(x + 0.00001, 4) AS x1, 770.0::DOUBLE - line_no % 60 * 12 AS y1,
-  round(CASE WHEN pos = len(p) - 1 THEN 36 + raw ELSE least(36 + raw, x + w * greatest(1, length(p[pos + 1])) / u) END + 0.00001, 4) AS x2, 780.0::DOUBLE - line_no % 60 * 12 AS y2, line_no % 60 * 12 + 12.0::DOUBLE AS top FROM e"""
+SELECT doc_id, CAST(line_no // 60 AS INTEGER) AS page_index, row_number() OVER (PARTITION BY doc_id, line_no // 60 ORDER BY line_no, pos) - 1 AS word_pos, p[pos + 1] AS text, round(x + 0.0000314159, 3) AS x1, 770.0::DOUBLE - line_no % 60 * 12 AS y1,
+  round(CASE WHEN pos = len(p) - 1 THEN 36 + raw ELSE least(36 + raw, x + w * greatest(1, length(p[pos + 1])) / u) END + 0.0000314159, 3) AS x2, 780.0::DOUBLE - line_no % 60 * 12 AS y2, line_no % 60 * 12 + 12.0::DOUBLE AS top FROM e"""
     # In the monospace layout a line's words are its pieces between blanks, 6 points a letter.
     pieces = f"""l AS ({LINES}), p AS (SELECT doc_id, line_no, string_split(text, ' ') AS p, length(text) AS n, length(text) - length(ltrim(text, ' ')) AS lead, length(rtrim(text, ' ')) AS until FROM l),
 w AS (SELECT doc_id, line_no, list_filter(p, lambda x: x <> '') AS w, 36.0::DOUBLE + 6 * lead AS x1, 36.0::DOUBLE + 6 * until AS x2 FROM p)"""
     step = r"CASE WHEN a = '' OR regexp_matches(b, '^[,.;:!?%)\]}]') OR regexp_matches(a, '[(\[{/$]$') THEN a || b ELSE a || ' ' || b END"
-    chunks = r"""WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*|.+$') AS s FROM documents),
-b AS (SELECT doc_id, list_transform(s, lambda x: {'done': CAST([] AS VARCHAR[]), 'held': x, 'n': CAST(list_sum(list_transform(regexp_extract_all(x, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'), lambda u: CASE WHEN regexp_matches(u, '^[\p{L}\p{N}]') THEN ceil(length(u) / 3) ELSE 1 END)) AS BIGINT)}) AS s FROM a),
-c AS (SELECT doc_id, list_reduce(list_concat([{'done': CAST([] AS VARCHAR[]), 'held': '', 'n': CAST(0 AS BIGINT)}], s), lambda x, y: CASE WHEN x.held <> '' AND x.n + coalesce(y.n, 0) > 3584 THEN {'done': list_append(x.done, x.held), 'held': y.held, 'n': coalesce(y.n, 0)}
-  ELSE {'done': x.done, 'held': x.held || y.held, 'n': x.n + coalesce(y.n, 0)} END) AS r FROM b),
+    # Greedy packing: a fold over segments, and for a segment beyond the limit over its words.
+    count = lambda x: rf"CAST(coalesce(list_sum(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]'), lambda u: CASE WHEN regexp_matches(u, '^[\p{{L}}\p{{N}}]') THEN ceil(length(u) / 3) ELSE 1 END)), 0) AS BIGINT)"
+    none = "CAST([] AS VARCHAR[])"
+    start = f"{{'done': {none}, 'held': '', 'n': CAST(0 AS BIGINT), 'big': {none}}}"
+    pack = f"CASE WHEN len(q.big) > 0 THEN {{'done': list_concat(p.done, [p.held], q.big), 'held': '', 'n': CAST(0 AS BIGINT), 'big': {none}}} WHEN p.held <> '' AND p.n + q.n > 3584 THEN {{'done': list_append(p.done, p.held), 'held': q.held, 'n': q.n, 'big': {none}}} ELSE {{'done': p.done, 'held': p.held || q.held, 'n': p.n + q.n, 'big': {none}}} END"
+    chunks = rf"""WITH a AS (SELECT doc_id, unnest(range(0, len(s))) AS i, unnest(s) AS x FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*|.+$') AS s FROM documents)),
+b AS (SELECT doc_id, i, x, {count('x')} AS n FROM a),
+w AS (SELECT doc_id, i, list_reduce(list_concat([{start}], list_transform(regexp_extract_all(x, '\S+\s*'), lambda w: {{'done': {none}, 'held': w, 'n': {count('w')}, 'big': {none}}})), lambda p, q: {pack}) AS r FROM b WHERE n > 3584),
+e AS (SELECT b.doc_id, b.i, {{'done': {none}, 'held': CASE WHEN w.r IS NULL THEN x ELSE '' END, 'n': b.n, 'big': CASE WHEN w.r IS NULL THEN {none} ELSE list_append(w.r.done, w.r.held) END}} AS e FROM b LEFT JOIN w ON w.doc_id = b.doc_id AND w.i = b.i),
+c AS (SELECT doc_id, list_reduce(list_concat([{start}], list(e ORDER BY i)), lambda p, q: {pack}) AS r FROM e GROUP BY doc_id),
 d AS (SELECT doc_id, list_filter(list_transform(list_append(r.done, r.held), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS c FROM c),
-e AS (SELECT doc_id, unnest(range(0, len(c))) AS i, unnest(c) AS chunk FROM d)
-SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, chunk, CAST(list_sum(list_transform(regexp_extract_all(chunk, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'), lambda u: CASE WHEN regexp_matches(u, '^[\p{L}\p{N}]') THEN ceil(length(u) / 3) ELSE 1 END)) AS BIGINT) AS tokens FROM e"""
+o AS (SELECT doc_id, unnest(range(0, len(c))) AS i, unnest(c) AS chunk FROM d)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, chunk, {count('chunk')} AS tokens FROM o"""
     return {
         "join_tokens": f"WITH l AS ({LINES}), a AS (SELECT doc_id, line_no, list_concat([''], regexp_extract_all(text, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]')) AS t FROM l) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, list_reduce(t, lambda a, b: {step}) AS joined FROM a",
         "clean_summary_sentence": f"SELECT conv_id, turn, {clean} AS sentence FROM conversations",
