@@ -28,10 +28,15 @@ FAMILIES = {
 BINS = 4096
 PER_LANGUAGE = 500
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _WINDOW = 1 << 22
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (Unicode category L); numerals such as ½ or Ⅳ are none."""
+    return any(c.isalpha() for run in _LETTERS.finditer(text) for c in run[0])
+
+
 def family_of(lang: str) -> str:
     code = lang.lower().split("-")[0].split("_")[0]
     return next((f for f, codes in FAMILIES.items() if code in codes.split()), lang)
@@ -126,19 +131,24 @@ class Hierarchy:
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     """Fit on a bounded sample of labelled rows (doc_id, text, lang); None where no row has a language and a letter.
 
-    Only rows' ids and languages are ranked; the sampled rows' features, at most
-    per_language x languages of fixed length, come to the driver.
+    Only rows' ids and languages are ranked, and of a language only those whose hash is so
+    small that some per_language x 4 are expected below it: no task gets more, however many
+    rows a language has. The sampled rows' features, at most per_language x languages of
+    fixed length, come to the driver.
     """
     labelled = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r[0] for r in labelled.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select("doc_id").distinct().collect()]
+    slots = 1 << 30
+    sized = labelled.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots))).join(labelled.groupBy("lang").agg(F.count("*").alias("of")), "lang")
+    low = sized.filter(F.col("slot") * (F.col("of") / slots) < 4 * per_language + 100)
+    w = Window.partitionBy("lang").orderBy("slot", "doc_id")
+    ids = [r[0] for r in low.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select("doc_id").distinct().collect()]
     if not ids:
         return None
 
     def vectors(batches):
         for batch in batches:
             texts, langs = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            keep = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+            keep = [i for i, t in enumerate(texts) if has_letter(t)]
             x = features([texts[i] for i in keep]).astype(np.float16)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([langs[i] for i in keep], pa.string()), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
@@ -158,7 +168,7 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            keep = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+            keep = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
             for at in range(0, len(keep), 512):
                 some = keep[at : at + 512]
                 got, s = model.predict(features([texts[i] for i in some]))
