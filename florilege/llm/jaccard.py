@@ -8,14 +8,17 @@ Alone, an R-tree over these points can't prune long sets at high thresholds (the
 bound's slack grows as the root of the length, but in every group), so equal
 signatures come first: two sets in the threshold differ in at most d shingles, d
 known from their sizes; of more than d hash groups at least one is then equal in
-both. Blocks of one signature hold, in effect, near copies alone.
-
-Of each signature's members the first is compared with all others: by the bound,
-then exactly. Where all members fall into one component, nothing more can be
-learnt. The others' signatures are joined into blocks, and each block's R-tree is
-searched for pairs across components, of any size, tile by tile; survivors are
-verified in the tile, and one link for two components leaves it. So no link between
-components is lost, and no group's pairs are emitted.
+both. The documents that share a signature are a block.
+
+Of each block the first member is compared with all others: by the bound, then
+exactly. That keeps a block of copies linear: where all its members fall into one
+component, nothing more can be learnt. Signatures whose members are still in several
+components, joined by their first member, make larger blocks, whose points are indexed
+in an R-tree. It is searched for the members outside the block's main component;
+pairs that survive the bound, and lie across components, are verified exactly. Large
+blocks are searched tile by tile. Where many pairs of a tile survive, their texts
+go there and are verified in place, and one link for two components leaves it. So no
+link between components is lost, and no group's pairs are emitted.
 """
 
 from __future__ import annotations
@@ -30,11 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
-from .exchange import BLOB, answer, blob_batches, blobs, packed, ranges_for, unpacked, unpacked_keys
+from .exchange import BLOB, answer, blob_batches, blobs, packed, unpacked, unpacked_keys
 
 DIMS = 128
-TILE, MOST = 512, 8192  # members of a tile: of blocks of up to 16 tiles, of larger ones
+TILE = 2048  # members of a block that are searched at once
+DENSE = 4  # pairs left of a tile for each of its members, from which on they are verified in place
+CHUNK = 20_000  # rows of small blocks for one task
 LEAF = 32
+RANGE_SHINGLES = 2_000_000  # for each key range of signatures
 SLOTS = 1 << 25  # bits of the filter of ids: 4 MB
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -62,7 +68,7 @@ class Blocks:
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.lows, self.highs = [1], []
+        self.lows, self.highs, self._groups = [1], [], {}
 
     def _level(self, n: int) -> int:
         while not self.highs or self.highs[-1] < n:
@@ -76,6 +82,21 @@ class Blocks:
         p = self.percent
         return n * (100 - p) // p
 
+    def groups(self, level: int) -> int:
+        """Groups of a level: more than d, and so many that its smallest sets have more than d in use, with three deviations to spare.
+
+        Signatures of empty groups are alike for unrelated sets, and needed only where d groups or fewer are in use.
+        """
+        if level not in self._groups:
+            low, d = self.lows[level], self.differ(self.highs[level])
+            for n in range(d + 1, 2 * d + 6):
+                share = math.exp(-low / n)
+                used, deviation = n * (1 - share), math.sqrt(n * share * max(0.0, 1 - (1 + low / n) * share))
+                if not d or used - 3 * deviation > d:
+                    break
+            self._groups[level] = n
+        return self._groups[level]
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """64-bit signatures of a set of sorted hashes; a set's own level and the one below, where smaller partners meet it."""
         if not len(s):
@@ -84,8 +105,7 @@ class Blocks:
         return np.concatenate([self._tagged(s, t) for t in ((level, level - 1) if level else (level,))])
 
     def _tagged(self, s: np.ndarray, tag: int) -> np.ndarray:
-        d = self.differ(self.highs[tag])
-        groups = d + 1 + (1 + d // 50 if d else 0)
+        d, groups = self.differ(self.highs[tag]), self.groups(tag)
         with np.errstate(over="ignore"):
             mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
             mixed ^= mixed >> np.uint64(27)
@@ -299,7 +319,7 @@ def _tile_links(words: int, percent: int):
     """Links between components in a tile, or between two tiles, of a block's members: one for each two components that meet.
 
     The R-tree of the one tile is searched for each member of the other. What survives the
-    bound is verified exactly: sets are held as their differences from the member nearest to
+    bound is verified here: sets are held as their differences from the member nearest to
     the mean point, which are short where all are copies of one text, and an index of these
     differences gives the size of any two members' difference.
     """
@@ -331,6 +351,8 @@ def _tile_links(words: int, percent: int):
 
         out = []
         for j in right.tolist():
+            if not (label[left] != label[j]).any():
+                continue
             i = tree.search(points[j], percent)
             i = i[label[left[i]] != label[j]]
             if not len(i):
@@ -349,6 +371,67 @@ def _tile_links(words: int, percent: int):
     return run
 
 
+def _near_points(percent: int, dense: int):
+    """Pairs of a block's members, or of two tiles of them, that the bound doesn't rule out and that lie in different components; no pair but a mark for tiles with very many.
+
+    A chunk has several blocks. A block of few points is one leaf; of others, the R-tree of the one tile
+    is searched for each member of the other.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        block, ids, label, tile = (t[c].to_numpy() for c in ("block", "id", "label", "tile"))
+        low, high = t["t1"][0].as_py(), t["t2"][0].as_py()
+        points = t["counts"].combine_chunks().flatten().to_numpy().reshape(-1, DIMS)
+        order = np.lexsort((tile, block))
+        cuts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
+        found: list[tuple] = []
+
+        def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows of x and of y whose bound reaches what a link needs."""
+            if not len(x) or not len(y):
+                return x[:0], y[:0]
+            if len(x) * len(y) <= 4 * LEAF * LEAF:
+                p, q = points[x], points[y]
+                i, j = np.nonzero(np.minimum(p[:, None, :], q[None, :, :]).sum(2) >= needed(p.sum(1)[:, None], q.sum(1)[None, :], percent))
+                return x[i], y[j]
+            tree = RTree(points[x])
+            hits = [tree.search(q, percent) for q in points[y]]
+            return x[np.concatenate(hits)], np.repeat(y, [len(h) for h in hits])
+
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = order[start:stop]
+            left, right = rows[tile[rows] == low], rows[tile[rows] == high]
+            if not len(left) or not len(right):
+                continue
+            # Pairs across components have an end outside the largest one.
+            names, n = np.unique(label[rows], return_counts=True)
+            main = names[n.argmax()]
+            sides = [near(left, right[label[right] != main])]
+            if low != high:
+                sides.append(near(right[label[right] == main], left[label[left] != main]))
+            i, j = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+            across = label[i] != label[j]
+            both = np.unique(np.stack([np.minimum(ids[i], ids[j])[across], np.maximum(ids[i], ids[j])[across]], 1), axis=0)
+            if len(both) > dense * (len(left) + len(right)):
+                found.append((block[rows[:1]], None, None))
+            elif len(both):
+                found.append((np.full(len(both), block[rows[0]]), both[:, 0], both[:, 1]))
+        column = lambda k: pa.concat_arrays([pa.array([None] if f[k] is None else f[k], pa.int64()) for f in found]) if found else pa.array([], pa.int64())
+        n = sum(len(f[0]) for f in found)
+        return pa.table({"block": column(0), "t1": pa.array([low] * n, pa.int32()), "t2": pa.array([high] * n, pa.int32()), "a": column(1), "b": column(2)})
+
+    return run
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) after more links (a, b): the components of the labels that they join."""
+    of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    top = materialise(components(ends), "labels")
+    up = label.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return materialise(up.unionByName(top.join(label, "node", "left_anti")), "labels")
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -356,7 +439,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     carriage return). A set with fewer words than a shingle has the whole sequence as
     its one shingle; null texts and texts without words have an empty set and link
     with nothing. component_id is the smallest doc_id reachable over links, itself
-    included. Rows that share a doc_id are one node; a null doc_id has no component.
+    included. Rows that share a doc_id are one node; where their texts differ, the links of
+    one of them are sure to be found. A null doc_id has no component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialise(_sets(docs, words), "sets")
@@ -364,34 +448,47 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     # Equal sets are linked with the first that has them.
     first = sets.filter("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
     equal = sets.select("doc_id", "h1", "h2", "n").join(first, ["h1", "h2", "n"]).select("a", F.col("doc_id").alias("b")).filter("a <> b")
-    stars = materialise(answer(_asked(docs, words, percent, ranges_for(docs)), _stars), "stars")
+    parts = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / RANGE_SHINGLES))
+    stars = materialise(answer(_asked(docs, words, percent, parts), _stars), "stars")
     pairs = materialise(_star_rows(stars, "pairs").distinct(), "pairs")
     # Each member is verified with the smallest of its firsts; its other pairs only where they might still join two components.
     nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialise(_verified(nearest, docs, points, words, percent).unionByName(equal).distinct(), "links")
     label = materialise(components(links), "labels")
-    of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    across = lambda rows: rows.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+    def across(rows: DataFrame) -> DataFrame:
+        """Pairs whose ends are in different components so far."""
+        of = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+        return rows.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
     rest = materialise(across(pairs.join(nearest, ["a", "b"], "left_anti")), "rest")
     if not rest.isEmpty():
-        links = materialise(links.unionByName(_verified(rest, docs, points, words, percent)), "links")
-        label = materialise(components(links), "labels")
-    # Signatures whose members are in several components.
+        label = _merged(label, materialise(_verified(rest, docs, points, words, percent), "links"))
+    # Signatures whose members are in several components make blocks, by the first member. Pairs with it are known by now.
     split = materialise(across(pairs), "split")
     if not split.isEmpty():
         rows = _star_rows(stars, "rows")
-        open_sigs = rows.join(split, ["a", "b"], "left_semi").select("sig").distinct()
-        # Signatures that share members make one block, so that each member's text goes to it once.
-        block = components(rows.join(open_sigs, "sig", "left_semi").select("a", "b")).select(F.col("node").alias("id"), F.col("label").alias("block"))
-        block = materialise(block.join(of("id"), "id", "left").select("id", "block", F.coalesce("lid", "id").alias("label")), "blocks")
-        tiled = block.groupBy("block").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("n > 2 AND l0 <> l1")
-        tiled = tiled.select("block", F.greatest(F.least(F.ceil(F.col("n") / TILE), F.lit(16)), F.ceil(F.col("n") / MOST)).cast("int").alias("tiles"))
-        held = block.join(tiled, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        texts = _only(docs.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id"), held.select("id"), "id").join(held, "id").dropDuplicates(["id"])
-        spread = texts.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
-        more = spread.select("block", "t1", "t2", "tile", "id", "label", "text").groupBy("block", "t1", "t2").applyInArrow(_tile_links(words, percent), "a long, b long")
+        rows = rows.join(rows.join(split, ["a", "b"], "left_semi").select("sig").distinct(), "sig", "left_semi")
+        members = rows.join(rows.groupBy("sig").agg(F.min("a").alias("block")), "sig").select("block", F.explode(F.array("a", "b")).alias("id")).distinct()
+        members = materialise(members.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id")), "members")
+        blocks = members.groupBy("block").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("m > 2 AND l0 <> l1")
+        blocks = materialise(blocks.select("block", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"), "m"), "blocks")
+        chunks = max(1, math.ceil((blocks.filter("tiles = 1").agg(F.sum("m")).first()[0] or 0) / CHUNK))
+        held = members.join(blocks, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        # A large block has its own chunks; a member of it meets each tile once.
+        held = held.withColumn("chunk", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("block"), F.lit(chunks))).otherwise(F.col("block")))
+        placed = held.join(points.select(F.col("doc_id").alias("id"), "counts"), "id").withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+        placed = placed.withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
+        found = placed.select("block", "id", "label", "tile", "counts", "chunk", "tiles", "t1", "t2").groupBy("chunk", "tiles", "t1", "t2").applyInArrow(_near_points(percent, DENSE), "block long, t1 int, t2 int, a long, b long")
+        found = materialise(found, "found")
+        more = _verified(found.filter("a IS NOT NULL").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), docs, points, words, percent)
+        dense = found.filter("a IS NULL").select("block", "t1", "t2")
+        if not dense.isEmpty():
+            own = held.join(dense, "block").filter("tile = t1 OR tile = t2").select("block", "t1", "t2", "id", "label", "tile")
+            texts = _only(docs.filter("text IS NOT NULL").withColumnRenamed("doc_id", "id"), own.select("id"), "id").dropDuplicates(["id"])
+            more = more.unionByName(texts.join(own, "id").groupBy("block", "t1", "t2").applyInArrow(_tile_links(words, percent), "a long, b long"))
         more = materialise(more, "links")
         if not more.isEmpty():
-            label = materialise(components(links.unionByName(more)), "labels")
+            label = _merged(label, more)
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
