@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: dict[str, list[str]] = {}
-tables: list[str] = []  # bucketed ones, in the warehouse
+#: What operators stored, by application and owner: paths in the shared folder, and names of bucketed tables.
+_paths: dict[tuple[str, str], list[str]] = {}
+_tables: dict[tuple[str, str], list[str]] = {}
+_owner = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,26 +22,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own on one machine; on a cluster, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="florilege-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+def _keep(spark: SparkSession, kept: dict, name: str) -> None:
+    if not _paths and not _tables:
+        atexit.register(_release_all)
+    kept.setdefault((spark.sparkContext.applicationId, _owner[0]), []).append(name)
+
+
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write df once as Parquet in the shared folder and read it back, with its path: cuts lineage, survives lost executors.
 
-    The tables stay until release() or the end of the process, as the result may still be read.
+    The tables stay until forget(), release() or the end of the process, as the result may still be read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_release_all)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _keep(spark, _paths, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """The table of stored()."""
+    return stored(df, label)[0]
+
+
+def keep_table(spark: SparkSession, name: str) -> DataFrame:
+    _keep(spark, _tables, name)
+    return spark.table(name)
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -45,22 +65,38 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     spark = df.sparkSession
     n, name = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2), f"florilege_{label}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).saveAsTable(name)
-    tables.append(name)
-    return spark.table(name)
+    return keep_table(spark, name)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    while tables:
-        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()}")
+@contextlib.contextmanager
+def owned(owner: str):
+    """What is stored within belongs to an owner, so that release() can tell it from the rest."""
+    before, _owner[0] = _owner[0], owner
+    try:
+        yield
+    finally:
+        _owner[0] = before
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that the operators wrote in this application; results built on them can't be read any more."""
-    drop_tables(spark)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete one stored table, which nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for paths in _paths.values():
+        if path in paths:
+            paths.remove(path)
+
+
+def release(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete the tables that an owner (or all) stored in this application; results built on them can't be read any more."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _tables if k[0] == app and owner in (None, k[1])]:
+        for name in _tables.pop(key):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for key in [k for k in _paths if k[0] == app and owner in (None, k[1])]:
+        for path in list(_paths[key]):
+            forget(spark, path)
+        del _paths[key]
 
 
 def _release_all() -> None:
@@ -72,12 +108,6 @@ def _release_all() -> None:
             pass
 
 
-def input_bytes(docs: DataFrame) -> int:
-    """Size of docs (doc_id, text): Catalyst's estimate, without a job; where it has none, the texts are measured."""
-    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return known if known < 1 << 50 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-
 def crc_mod(col: Column, m: int) -> Column:
     """crc32 of the value as text, modulo m."""
     return F.crc32(col.cast("string").cast("binary")) % m

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import forget, stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, label (the smallest node reachable) of every node of edges (a, b): large-star and small-star steps until nothing changes.
 
     Each step is two aggregations with partial sums and a join on a node; every
-    round is written to the shared folder, and only counts reach the driver.
+    round is written to the shared folder, the one before it is deleted then, and only
+    counts reach the driver.
     """
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = materialise(both.distinct(), "edges")
+    state, path = stored(both.distinct(), "edges")
     known = _fingerprint(state)
     for _ in range(rounds):
         # Large star: neighbours above a node go to the smallest of it and its neighbours.
@@ -25,8 +26,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: what lies below a node goes to the smallest of it.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = materialise(small, "edges")
-        before, known, state = known, _fingerprint(new), new
+        new, new_path = stored(small, "edges")
+        forget(edges.sparkSession, path)
+        before, known, state, path = known, _fingerprint(new), new, new_path
         if known == before:
             break
     else:

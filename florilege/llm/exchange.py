@@ -12,8 +12,10 @@ in the blob's order, without the keys.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, tables
+from .common import keep_table
 
 SHARD_BYTES = 16 << 20
-RANGE_BYTES = 24 << 20  # of input for each key range
+RANGE_BYTES = 16 << 20  # of text for each key range
 NO_ID = np.iinfo(np.int64).max  # stands for a null id
 BLOB = "kind int, shard long, part long, blob binary"
 
@@ -68,8 +70,18 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def ranges_for(docs: DataFrame) -> int:
-    return max(1, math.ceil(input_bytes(docs) / RANGE_BYTES))
+def ranges_for(shards: DataFrame) -> int:
+    """How many key ranges the texts of stored shards ask for, by their real size."""
+    return max(1, math.ceil((shards.agg(F.sum("size")).first()[0] or 0) / RANGE_BYTES))
+
+
+def trim() -> None:
+    """Give memory that a group has freed back to the system: a worker handles one group after another, and its peak would be the sum of what allocators keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def cut_points(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -105,7 +117,7 @@ def _blob_batch(rows) -> pa.RecordBatch:
 
 
 def shard_table(docs: DataFrame, label: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Store docs (doc_id, text) as shards: shard, docs binary. A null text counts as empty."""
+    """Store docs (doc_id, text) as shards: shard, size (bytes of text), docs binary. A null text counts as empty."""
 
     def run(batches):
         part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -114,7 +126,7 @@ def shard_table(docs: DataFrame, label: str, shard_bytes: int = SHARD_BYTES) ->
             nonlocal seq, ids, texts, size
             sizes = np.array([len(t) for t in texts], np.int64)
             blob = zstandard.ZstdCompressor(level=3).compress(np.int64(len(ids)).tobytes() + np.array(ids, np.int64).tobytes() + sizes.tobytes() + b"".join(texts))
-            out = pa.RecordBatch.from_pydict({"shard": pa.array([part << 24 | seq], pa.int64()), "docs": pa.array([blob], pa.binary())})
+            out = pa.RecordBatch.from_pydict({"shard": pa.array([part << 24 | seq], pa.int64()), "size": pa.array([size], pa.int64()), "docs": pa.array([blob], pa.binary())})
             seq, ids, texts, size = seq + 1, [], [], 0
             return out
 
@@ -132,9 +144,8 @@ def shard_table(docs: DataFrame, label: str, shard_bytes: int = SHARD_BYTES) ->
     spark = docs.sparkSession
     name = f"florilege_{label}_{uuid.uuid4().hex}"
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "shard long, docs binary").write.format("parquet").option("compression", "none").bucketBy(buckets, "shard").saveAsTable(name)
-    tables.append(name)
-    return spark.table(name)
+    docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "shard long, size long, docs binary").write.format("parquet").option("compression", "none").bucketBy(buckets, "shard").saveAsTable(name)
+    return keep_table(spark, name)
 
 
 def shard_docs(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -154,6 +165,7 @@ def ask(shards: DataFrame, answers: DataFrame | None, question) -> DataFrame:
             for batch in batches:
                 for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     yield from blob_batches(question(shard, *shard_docs(blob.as_py()), {}))
+                    trim()
 
         return shards.select("shard", "docs").mapInArrow(first, BLOB)
     return _with_answers(shards, answers, lambda *a: blob_batches(question(*a)), BLOB)
@@ -170,6 +182,7 @@ def _with_answers(shards: DataFrame, answers: DataFrame, fn, schema: str) -> Dat
         for k, p, b in zip(right["kind"].to_pylist(), right["part"].to_pylist(), right["blob"], strict=True):
             got.setdefault(k, {})[p] = b.as_py()
         out = [pa.Table.from_batches([b]) for s, d in zip(left["shard"].to_pylist(), left["docs"], strict=True) for b in fn(s, *shard_docs(d.as_py()), got)]
+        trim()
         return pa.concat_tables(out) if out else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -180,15 +193,15 @@ def _with_answers(shards: DataFrame, answers: DataFrame, fn, schema: str) -> Dat
 
 
 def answer(asked: DataFrame, fn) -> DataFrame:
-    """Rows of BLOB from each key range of each kind; fn(kind, part, [(shard, blob)]) yields them."""
+    """Rows of BLOB from each key range of each kind; fn(kind, part, [(shard, blob)]) yields them, and they leave as they come."""
 
-    def run(t: pa.Table) -> pa.Table:
-        pairs = sorted(zip(t["shard"].to_pylist(), (b.as_py() for b in t["blob"]), strict=True), key=lambda x: x[0])
-        out = list(fn(t["kind"][0].as_py(), t["part"][0].as_py(), pairs))
-        return pa.Table.from_batches([_blob_batch(out)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, kind, part = [], None, None
+        for b in batches:
+            kind, part = b.column("kind")[0].as_py(), b.column("part")[0].as_py()
+            pairs += zip(b.column("shard").to_pylist(), (x.as_py() for x in b.column("blob")), strict=True)
+        pairs.sort(key=lambda x: x[0])
+        yield from blob_batches(fn(kind, part, pairs))
+        trim()
 
     return asked.groupBy("kind", "part").applyInArrow(run, BLOB)
-
-
-def stat_rows(answers: DataFrame, kind: int) -> DataFrame:
-    return answers.filter(F.col("kind") == kind)

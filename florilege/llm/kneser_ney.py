@@ -216,9 +216,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, order: int = 2) -> D
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
-    docs = docs.select("doc_id", "text")
-    parts = ranges_for(docs)
-    shards = shard_table(docs, "lm")
+    shards = shard_table(docs.select("doc_id", "text"), "lm")
+    parts = ranges_for(shards)
 
     def count(shard, ids, texts, _):
         s = _Shard(ids, texts, modulus, held, order)

@@ -407,9 +407,8 @@ def suffix_dedup(docs: DataFrame, outputs: str = "texts") -> DataFrame:
     remaining bytes' sha256. A null text counts as empty and keeps nothing. Rows that share
     a doc_id never remove each other's bytes; a null id sorts after all others.
     """
-    docs = docs.select("doc_id", "text")
-    parts = ranges_for(docs)
-    shards = shard_table(docs, "dedup", SHARD_BYTES // 2)
+    shards = shard_table(docs.select("doc_id", "text"), "dedup", SHARD_BYTES // 2)
+    parts = ranges_for(shards)
 
     def ask_chunks(shard, ids, texts, _):
         c = _Chunks(_docs(ids, texts))
