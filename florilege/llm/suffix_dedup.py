@@ -1,48 +1,46 @@
 """Removal of repeated byte strings by a hash-compared suffix sort.
 
 Every byte that lies in a string of LENGTH bytes which also starts in a document
-with a smaller id is removed. Three exchanges between shards of documents and
-ranges of hashed keys narrow the texts down to what has to be sorted:
-
-1. Content-defined chunks. A chunk, with the LENGTH - 1 bytes after it, holds
-   whole windows (strings of LENGTH bytes); where a document with a smaller id has
-   the same one, all windows that start in it are repeats, and nothing else needs
-   it as a source, as its first owner has the same windows.
-2. Minimisers. Each window left has the smallest scrambled hash of its GRAM-byte
-   strings as its key; equal windows have equal keys. Only keys that several
-   documents have can hold repeats.
-3. Segments. Runs of windows with one such key go, once for each distinct text, to
+with a smaller id is removed. Two exchanges between shards of documents and
+ranges of hashed keys bring together what has to be sorted:
+
+1. Minimisers. Each window (string of LENGTH bytes) has the smallest scrambled hash
+   of its GRAM-byte strings as its key; equal windows have equal keys. Only keys that
+   several documents have can hold repeats.
+2. Segments. Runs of windows with one such key go, once for each distinct text, to
    the key's range with the smallest id that has them. There all suffixes of the
    key's segments are sorted: within equal first eight bytes by mergesort, whose
    comparisons find the common extension of two suffixes by binary search over
    prefix polynomial hashes. Runs of suffixes that share LENGTH bytes, verified byte
    by byte, are equal windows; all but those of the smallest id are repeats.
 
-Nothing is compared pair by pair within a group, and a key's frequency does not
-matter: a shard sends each distinct chunk, key or segment once. Where a key has very
-many different runs (at the edges of a passage that many documents share), its windows
-go one by one to the ranges of their own hashes, so that no task has to sort them all.
+Hashes only choose what is compared: no byte goes without its string having been
+found, byte for byte, in a document with a smaller id. Nothing is compared pair by
+pair within a group, and a key's frequency does not matter: a shard sends each
+distinct key or segment once. Where a key has very many different runs (at the edges
+of a passage that many documents share), its windows go one by one to the ranges of
+their own hashes, so that no task has to sort them all.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import materialise
 from .exchange import NO_ID, SHARD_BYTES, answer, ask, blobs, cut_points, finish, packed, ranges_for, shard_table, unpacked, unpacked_keys
 
-LENGTH, GRAM, MASK, MOST = 50, 32, 127, 64
+LENGTH, GRAM, MOST = 50, 32, 64
 SORTED = 50_000  # windows sorted at once, or one key's
 HOT = 2_000  # different runs of a key, from which on its windows go alone
-SUB = 32  # sub-ranges of a key range's segments, unpacked one at a time
-CHUNK, KEY, SEGMENT = range(3)
+SUB = 4  # sub-ranges of a key range's segments, unpacked one at a time
+KEY, SEGMENT, STATE = range(3)
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -59,6 +57,12 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
+def scrambled(keys: np.ndarray) -> np.ndarray:
+    """Minima spread evenly over all 64 bits, one to one: key ranges are of one width, and minima lie low."""
+    keys = keys * _U(0x9FB21C651E98DF25)
+    return keys ^ (keys >> _U(32))
+
+
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each `width` neighbours, by doubling."""
     n = 1
@@ -68,135 +72,96 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return h if n == width else np.minimum(h[: len(h) - (width - n)], h[width - n :])
 
 
-def chunk_starts(h: np.ndarray) -> np.ndarray:
-    """Places where a chunk begins, the first included."""
-    at = np.flatnonzero((h & _U(MASK)) == 0)
-    return at if len(at) and at[0] == 0 else np.concatenate([[0], at])
-
-
-class _Doc:
-    """A text with windows: chunks of them, and each chunk's 128-bit hash."""
-
-    def __init__(self, doc_id: int, text: bytes):
-        import xxhash
-
-        self.id, self.text, self.windows = doc_id, text, len(text) - LENGTH + 1
-        self.h = gram_hashes(np.frombuffer(text, np.uint8))
-        starts = chunk_starts(self.h[: self.windows])
-        self.starts, self.ends = starts, np.append(starts[1:], self.windows)
-        digest = xxhash.xxh3_128_digest
-        self.hashes = np.frombuffer(b"".join([digest(text[a : b + LENGTH - 1]) for a, b in zip(starts.tolist(), self.ends.tolist(), strict=True)]), _U).reshape(-1, 2)
-
-
-def _docs(ids: np.ndarray, texts: list[bytes]) -> list[_Doc]:
-    return [_Doc(i, t) for i, t in zip(ids.tolist(), texts, strict=True) if len(t) >= LENGTH]
-
-
-class _Chunks:
-    """A shard's distinct chunks, sorted: which are first met here, with the smallest id, and which another shard owns."""
+class _Runs:
+    """A shard's windows, as runs of neighbours with one minimiser: first window, key, document, length, and a hash of the run's two ends."""
 
-    def __init__(self, docs: list[_Doc]):
-        self.docs = docs
-        h = np.concatenate([d.hashes for d in docs]) if docs else np.zeros((0, 2), _U)
-        owner = np.repeat(np.array([d.id for d in docs], np.int64), [len(d.starts) for d in docs])
-        order = np.lexsort((owner, h[:, 1], h[:, 0]))
-        s = h[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]).any(1)]) if len(s) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        self.keys, self.check, self.lowest = s[first, 0], s[first, 1], owner[order][first]
-        group = np.empty(len(s), np.int64)
-        group[order] = np.cumsum(new) - 1
-        self.group = np.split(group, np.cumsum([len(d.starts) for d in docs])[:-1]) if docs else []
-
-    def repeats(self, answers: dict) -> list[np.ndarray]:
-        """For each document, which of its windows start in a chunk that a smaller id has."""
-        parts = [unpacked(b)[0] for _, b in sorted(answers.get(CHUNK, {}).items())]
-        owned_elsewhere = np.concatenate(parts) if parts else np.zeros(0, bool)
-        return [np.repeat(owned_elsewhere[g] | (self.lowest[g] < d.id), d.ends - d.starts) for d, g in zip(self.docs, self.group, strict=True)]
-
-
-def _answer_chunks(kind: int, part: int, pairs: list):
-    """For each chunk that a shard sent, whether a smaller id of another shard has it."""
-    got = [unpacked_keys(b) for _, b in pairs]
-    keys, check, ids = (np.concatenate([g[c] for g in got]) for c in range(3))
-    order = np.lexsort((ids, check, keys))
-    k, c = keys[order], check[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-    lowest = np.empty(len(ids), np.int64)
-    lowest[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    at = 0
-    for (shard, _), g in zip(pairs, got, strict=True):
-        n = len(g[0])
-        yield CHUNK, shard, part, packed(lowest[at : at + n] < g[2])
-        at += n
-
-
-class _Open:
-    """A shard's windows that no chunk settles, with their minimisers."""
-
-    def __init__(self, ids: np.ndarray, texts: list[bytes], answers: dict):
-        self.docs = _docs(ids, texts)
-        self.repeats = _Chunks(self.docs).repeats(answers)
+    def __init__(self, ids: np.ndarray, texts: list[bytes]):
+        self.ids, self.texts = ids, texts
         at, keys, of, n, ends = [], [], [], [], []
-        for i, (d, gone) in enumerate(zip(self.docs, self.repeats, strict=True)):
-            left = np.flatnonzero(~gone)
-            if len(left):
-                k = window_minima(d.h, LENGTH - GRAM + 1)[left]
-                first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (left[1:] != left[:-1] + 1)]))
-                keys.append(k[first])
-                at.append(left[first])
-                n.append(np.diff(first, append=len(left)))
-                of.append(np.full(len(first), i, np.int64))
-                ends.append(d.h[at[-1]] * _BASE ^ d.h[at[-1] + n[-1] - 1 + LENGTH - GRAM])
-            d.h = None
+        for i, text in enumerate(texts):
+            if len(text) < LENGTH:
+                continue
+            h = gram_hashes(np.frombuffer(text, np.uint8))
+            k = window_minima(h, LENGTH - GRAM + 1)
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            keys.append(scrambled(k[first]))
+            at.append(first)
+            n.append(np.diff(first, append=len(k)))
+            of.append(np.full(len(first), i, np.int64))
+            ends.append(h[first] * _BASE ^ h[first + n[-1] - 1 + LENGTH - GRAM])
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        # Runs of neighbouring windows with one key: their first windows, their lengths, and hashes of their two ends.
         self.at, self.keys, self.of, self.n, self.ends = join(at, np.int64), join(keys, _U), join(of, np.int64), join(n, np.int64), join(ends, _U)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, whether several ids have them here, and how many different runs (told apart by their ends)."""
-        ids = np.array([d.id for d in self.docs], np.int64)
+        if not len(self.keys):
+            return self.keys, np.zeros(0, np.uint8), np.zeros(0, np.uint32)
         order = np.lexsort((self.ends, self.keys))
-        k, e, i = self.keys[order], self.ends[order], ids[self.of[order]] if len(order) else np.zeros(0, np.int64)
-        if not len(k):
-            return k, np.zeros(0, bool), np.zeros(0, np.uint32)
+        k, e, i = self.keys[order], self.ends[order], self.ids[self.of[order]]
         new = np.concatenate([[True], k[1:] != k[:-1]])
         first = np.flatnonzero(new)
         runs = np.add.reduceat(new | np.concatenate([[True], e[1:] != e[:-1]]), first, dtype=np.uint32)
-        return k[first], np.maximum.reduceat(i, first) != np.minimum.reduceat(i, first), runs
+        return k[first], (np.maximum.reduceat(i, first) != np.minimum.reduceat(i, first)).astype(np.uint8), runs
 
-    def segments(self, answers: dict) -> list[tuple[int, int, int, int, bytes]]:
-        """(key, document, place, windows, text) of the runs of windows whose key several ids have; windows of hot keys alone, keyed by their own hash."""
+    def shared(self, answers: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Runs whose key several documents have, and whether that key is hot."""
+        parts = [unpacked(b)[0] for _, b in sorted(answers.get(KEY, {}).items())]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        level = np.concatenate(parts)
+        some = level & 1 > 0
+        keys, hot = np.unique(self.keys)[some], level[some] & 2 > 0
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        place = np.minimum(np.searchsorted(keys, self.keys), len(keys) - 1)
+        hit = np.flatnonzero(keys[place] == self.keys)
+        return hit, hot[place[hit]]
+
+
+class _Segments:
+    """A shard's segments of shared keys: each distinct one once, by key, and where each stands (row, document, place, windows). Windows of hot keys stand alone, keyed by their own hash."""
+
+    def __init__(self, runs: _Runs, answers: dict):
         import xxhash
 
-        keys, several, _ = self.distinct()
-        parts = [unpacked(b)[0] for _, b in sorted(answers.get(KEY, {}).items())]
-        level = np.concatenate(parts) if parts else np.zeros(len(keys), np.uint8)
-        some = several | (level & 1 > 0)
-        shared, hot = keys[some], level[some] & 2 > 0
-        if not len(shared):
-            return []
-        place = np.minimum(np.searchsorted(shared, self.keys), len(shared) - 1)
-        hit = np.flatnonzero(shared[place] == self.keys)
-        out = []
-        for k, i, a, n, alone in zip(*(x[hit].tolist() for x in (self.keys, self.of, self.at, self.n)), hot[place[hit]].tolist(), strict=True):
-            text = self.docs[i].text
-            if alone:
-                out += [(xxhash.xxh3_64_intdigest(w := text[p : p + LENGTH]), i, p, 1, w) for p in range(a, a + n)]
-                continue
-            for p in range(a, a + n, MOST):
-                w = min(MOST, a + n - p)
-                out.append((k, i, p, w, text[p : p + w + LENGTH - 1]))
-        return out
+        hit, hot = runs.shared(answers)
+        rows: dict[tuple[int, bytes], int] = {}
+        which, of, place, windows = array("I"), array("I"), array("Q"), array("B")
+        for r in range(0, len(hit), 100_000):
+            own = hit[r : r + 100_000]
+            for k, i, a, n, alone in zip(*(x[own].tolist() for x in (runs.keys, runs.of, runs.at, runs.n)), hot[r : r + 100_000].tolist(), strict=True):
+                text = runs.texts[i]
+                for p in range(a, a + n, 1 if alone else MOST):
+                    w = 1 if alone else min(MOST, a + n - p)
+                    t = text[p : p + w + LENGTH - 1]
+                    key = (xxhash.xxh3_64_intdigest(t), t) if alone else (k, t)
+                    which.append(rows.setdefault(key, len(rows)))
+                    of.append(i)
+                    place.append(p)
+                    windows.append(w)
+        self.of, self.place, self.n = np.frombuffer(of, np.uint32), np.frombuffer(place, np.uint64), np.frombuffer(windows, np.uint8)
+        keys = np.fromiter((k for k, _ in rows), _U, len(rows))
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(rows), np.uint32)
+        rank[order] = np.arange(len(rows), dtype=np.uint32)
+        self.which = rank[np.frombuffer(which, np.uint32)]
+        self.lowest = np.full(len(rows), NO_ID, np.int64)
+        np.minimum.at(self.lowest, self.which, runs.ids[self.of])
+        self.keys, texts = keys[order], [t for _, t in rows]
+        self.texts = [texts[i] for i in order.tolist()]
+
+    def state(self) -> bytes:
+        return packed(self.which, self.of, self.place, self.n, self.lowest)
 
 
 def _answer_keys(kind: int, part: int, pairs: list, hot: int):
-    """For each key that a shard sent: 1 if another shard has it too, 2 if it has `hot` different runs or more."""
+    """For each key that a shard sent: 1 if several documents have it, 2 if it has `hot` different runs or more."""
     got = [unpacked_keys(b) for _, b in pairs]
     keys, back, n = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True, return_counts=True)
-    runs = np.bincount(back, np.concatenate([g[1] for g in got]))
-    level = (n > 1) + (runs >= hot) * np.uint8(2)
-    for (shard, _), (own, _) in zip(pairs, got, strict=True):
+    several = np.bincount(back, np.concatenate([g[1] for g in got]))
+    runs = np.bincount(back, np.concatenate([g[2] for g in got]))
+    level = ((n > 1) | (several > 0)) + (runs >= hot) * np.uint8(2)
+    for (shard, _), (own, *_) in zip(pairs, got, strict=True):
         yield KEY, shard, part, packed(level[np.searchsorted(keys, own)].astype(np.uint8))
 
 
@@ -329,23 +294,19 @@ def _sorted_repeats(keys: np.ndarray, lowest: np.ndarray, texts: list[bytes], ro
     np.bitwise_or.at(hidden, rows[row[gone]], _U(1) << (at[gone] - base[row[gone]]).astype(_U))
 
 
-def _segment_rows(shard: int, segments: list, docs: list[_Doc], parts: int):
+def _segment_rows(shard: int, segments: _Segments, parts: int):
     """Each distinct segment of a shard once, with its smallest id."""
-    seen: dict[tuple[int, bytes], int] = {}
-    for key, i, _, _, text in segments:
-        seen[key, text] = min(seen.get((key, text), NO_ID), docs[i].id)
-    rows = sorted((k, t, i) for (k, t), i in seen.items())
-    keys = np.array([r[0] for r in rows], _U)
+    keys, lowest, texts = segments.keys, segments.lowest, segments.texts
     cuts = cut_points(keys, parts * SUB)
     for p in np.flatnonzero(np.diff(cuts[::SUB])).tolist():
         subs = []
         for q in range(p * SUB, (p + 1) * SUB):
-            own = rows[cuts[q] : cuts[q + 1]]
+            own = texts[cuts[q] : cuts[q + 1]]
             if not own:
                 subs += [b"", b""]
                 continue
-            subs.append(packed(keys[cuts[q] : cuts[q + 1]], np.array([r[2] for r in own], np.int64), np.array([len(r[1]) for r in own], np.uint16)))
-            subs.append(zstandard.ZstdCompressor(level=3).compress(b"".join([r[1] for r in own])))
+            subs.append(packed(keys[cuts[q] : cuts[q + 1]], lowest[cuts[q] : cuts[q + 1]], np.array([len(t) for t in own], np.uint16)))
+            subs.append(zstandard.ZstdCompressor(level=3).compress(b"".join(own)))
         yield SEGMENT, shard, p, np.array([len(x) for x in subs], np.int64).tobytes() + b"".join(subs)
 
 
@@ -361,7 +322,10 @@ def _sub_segments(blob: bytes, q: int):
 
 
 def _answer_segments(kind: int, part: int, pairs: list):
-    """For each segment that a shard sent, the mask of its repeated windows; one sub-range is unpacked and sorted at a time."""
+    """For each segment that a shard sent, the mask of its repeated windows; one sub-range is unpacked and sorted at a time. What a shard notes for itself goes back as it is."""
+    if kind == STATE:
+        yield from ((STATE, shard, part, blob) for shard, blob in pairs)
+        return
     masks: list[list[np.ndarray]] = [[] for _ in pairs]
     for q in range(SUB):
         got = [_sub_segments(blob, q) for _, blob in pairs]
@@ -373,20 +337,22 @@ def _answer_segments(kind: int, part: int, pairs: list):
         yield SEGMENT, shard, part, packed(np.concatenate(own))
 
 
-def _removed(opened: _Open, segments: list, answers: dict) -> list[np.ndarray]:
-    """For each document, the starts of its repeated windows as a flag for each window."""
-    gone = [g.copy() for g in opened.repeats]
-    lowest: dict[tuple[int, bytes], int] = {}
-    for key, i, _, _, text in segments:
-        lowest[key, text] = min(lowest.get((key, text), NO_ID), opened.docs[i].id)
-    parts = [unpacked(b)[0] for _, b in sorted(answers.get(SEGMENT, {}).items())]
-    masks = dict(zip(sorted(lowest), np.concatenate(parts).tolist() if parts else [], strict=True))
-    for key, i, place, n, text in segments:
-        if lowest[key, text] < opened.docs[i].id:
-            gone[i][place : place + n] = True
-        elif m := masks[key, text]:
-            gone[i][place : place + n] |= np.array([m >> j & 1 for j in range(n)], bool)
-    return gone
+def _repeats(ids: np.ndarray, texts: list[bytes], answers: dict) -> list[np.ndarray]:
+    """For each document, a flag for each place: whether a repeated window starts there."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(sizes) - sizes
+    gone = np.zeros(int(sizes.sum()), bool)
+    for blob in answers.get(STATE, {}).values():
+        which, of, place, n, lowest = unpacked(blob)
+        parts = [unpacked(b)[0] for _, b in sorted(answers.get(SEGMENT, {}).items())]
+        masks = np.concatenate(parts) if parts else np.zeros(0, _U)
+        mask = np.where(lowest[which] < ids[of], ~_U(0), masks[which])
+        hit, bit = np.flatnonzero(mask), np.arange(MOST)
+        for i in range(0, len(hit), 16_384):
+            j = hit[i : i + 16_384]
+            on = (mask[j][:, None] >> bit.astype(_U) & _U(1) > 0) & (bit < n[j][:, None])
+            gone[((base[of[j]] + place[j].astype(np.int64))[:, None] + bit)[on]] = True
+    return np.split(gone, base[1:])
 
 
 def _cover(gone: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -410,33 +376,25 @@ def suffix_dedup(docs: DataFrame, outputs: str = "texts") -> DataFrame:
     shards = shard_table(docs.select("doc_id", "text"), "dedup", SHARD_BYTES // 2)
     parts = ranges_for(shards)
 
-    def ask_chunks(shard, ids, texts, _):
-        c = _Chunks(_docs(ids, texts))
-        for d in c.docs:
-            d.h = None
-        yield from blobs(CHUNK, shard, c.keys, [c.check, c.lowest], parts)
-
-    chunked = materialise(answer(ask(shards, None, ask_chunks), _answer_chunks), "chunks")
-
-    def ask_keys(shard, ids, texts, answers):
-        keys, _, runs = _Open(ids, texts, answers).distinct()
-        yield from blobs(KEY, shard, keys, [runs], parts)
+    def ask_keys(shard, ids, texts, _):
+        keys, several, runs = _Runs(ids, texts).distinct()
+        yield from blobs(KEY, shard, keys, [several, runs], parts)
 
-    keyed = materialise(chunked.unionByName(answer(ask(shards, chunked, ask_keys), partial(_answer_keys, hot=HOT))), "keys")
+    keyed = materialise(answer(ask(shards, None, ask_keys), partial(_answer_keys, hot=HOT)), "keys")
 
     def ask_segments(shard, ids, texts, answers):
-        opened = _Open(ids, texts, answers)
-        yield from _segment_rows(shard, opened.segments(answers), opened.docs, parts)
+        segments = _Segments(_Runs(ids, texts), answers)
+        yield STATE, shard, shard, segments.state()
+        yield from _segment_rows(shard, segments, parts)
 
-    answered = keyed.unionByName(answer(ask(shards, keyed, ask_segments), _answer_segments))
+    answered = answer(ask(shards, keyed, ask_segments), _answer_segments)
     digests = outputs == "digests"
 
     def result(shard, ids, texts, answers):
-        opened = _Open(ids, texts, answers)
-        gone = iter(_removed(opened, opened.segments(answers), answers))
+        gone = iter(_repeats(ids, texts, answers))
         rows = []
         for i, t in zip(ids.tolist(), texts, strict=True):
-            spans = _cover(next(gone), len(t)) if len(t) >= LENGTH else []
+            spans = _cover(next(gone), len(t))
             edges = [0, *(x for s in spans for x in s), len(t)]
             kept = b"".join([t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
             rows.append((None if i == NO_ID else i, len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "replace"), spans))
