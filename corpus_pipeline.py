@@ -9,17 +9,19 @@ and its decisions take effect:
 4. secrets: every span found is replaced by a mark; the documents stay.
 5. packing: pieces of the documents' ids with their places in sequences.
 
-n_chars follows the text wherever a stage changes it.
+n_chars follows the text wherever a stage changes it. What a stage stores on its way is
+deleted when the next one begins, as its result is written by then.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm.common import crc_mod, shared_dir
+from florilege.llm.common import crc_mod, forget, owned, release, shared_dir
 from florilege.llm.jaccard import jaccard_join
 from florilege.llm.langid import UNDETERMINED, fit, predict
 from florilege.llm.line_dedup import line_dedup
@@ -28,6 +30,19 @@ from florilege.llm.queries import tokenizer
 from florilege.llm.secrets import scan
 
 
+def _stage(f):
+    """f, with its own tables: those of the stage before are deleted first."""
+
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with owned("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language; the model is fitted on a bounded sample of the labelled ones, one in five left out.
 
@@ -41,6 +56,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*columns)
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated chunks of lines; a document that had text and has none left goes."""
     cut = line_dedup(docs)
@@ -48,18 +64,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component; documents without words are all kept."""
     others = jaccard_join(docs, words=5, percent=80).filter("component_id <> doc_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts."""
     marks = scan(docs, extra=[c for c in docs.columns if c not in ("doc_id", "text")], outputs="redacted")
     return marks.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all texts into sequences."""
     return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
@@ -71,11 +90,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
+    """All stages over documents; what each returns is written to the shared folder and read again, and its input deleted."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            forget(spark, f"{folder}/{i - 1}")
+    release(spark, "pipeline")
     return docs
 
 
