@@ -42,3 +42,48 @@ def test_stages(spark, tmp_path):
     check_packing(kept[4][1], 1024)
     assert {r.doc_id for r in kept[4][1]} == set(kept[4][0])
     assert sorted(map(tuple, p.run(spark, str(tmp_path)).select("doc_id", "piece", "length").collect())) == sorted((r.doc_id, r.piece, r.length) for r in kept[4][1])
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, h string, pos int, shard long, sig long"
+
+
+def staged(spark, folder, rows):
+    """What each stage keeps of rows of (doc_id, text, lang)."""
+    import corpus_pipeline as p
+
+    made = [(i, t, g, "s", None if t is None else len(t), "l", "h", 1, 2, 3) for i, t, g in rows]
+    spark.createDataFrame(made, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    state, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for i, (_, stage) in enumerate(p.STAGES):
+        before = state.columns
+        stage(spark, state, str(folder)).write.parquet(f"{folder}/{i}")
+        state = spark.read.parquet(f"{folder}/{i}")
+        assert i == 4 or state.columns == before
+        out.append(state.collect())
+    return out
+
+
+def test_empty_table(spark, tmp_path):
+    assert staged(spark, tmp_path, []) == [[]] * 5
+
+
+def test_extra_columns_and_repeated_ids(spark, tmp_path):
+    long = " ".join(f"word{i} of a text" for i in range(60))
+    rows = [(1, "hello there friend", "en"), (1, "hello there friend", "en"), (2, long, "en"), (2, "another text of the same id", "en"), (3, long + " more", "en"), (4, "½ 12", "en"), (5, "", "en"), (6, None, None), (None, "no id here", "en"), (7, "a\nb\nc\nd", "en"), (8, "a\nb\nc\nd", "en"), (9, "password = 'abcdefghijklmnop'", "en")]
+    kept = staged(spark, tmp_path, rows)
+    ids = [sorted((r.doc_id is not None, r.doc_id) for r in x) for x in kept]
+    assert [i for _, i in ids[0]] == [None, 1, 1, 2, 2, 3, 7, 8, 9]
+    # The copy of four lines goes with its document; the near copy goes; rows that share an id go or stay together.
+    assert [i for _, i in ids[1]] == [None, 1, 1, 2, 2, 3, 7, 9] and [i for _, i in ids[2]] == [None, 1, 1, 2, 2, 7, 9] == [i for _, i in ids[3]]
+    assert {r.text for r in kept[3] if r.doc_id == 9} == {"[secret]"} or all("abcdefghijklmnop" not in r.text for r in kept[3])
+    assert {r.doc_id for r in kept[4]} == {None, 1, 2, 7, 9}
+
+
+def test_stages_delete_what_those_before_stored(spark, tmp_path):
+    from florilege.llm import common
+
+    staged(spark, tmp_path, [(i, f"text number {i} is about some thing\nand has two lines", "en") for i in range(20)])
+    app = spark.sparkContext.applicationId
+    assert (app, "pipeline") not in common._tables and all("units" not in x and "sets" not in x for x in common._paths.get((app, "pipeline"), []))
+    common.release(spark, "pipeline")
+    assert (app, "pipeline") not in common._paths
