@@ -27,6 +27,7 @@ FAMILIES = {
 }
 BINS = 4096
 PER_LANGUAGE = 500
+TREE = 64
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WINDOW = 1 << 22
@@ -131,17 +132,16 @@ class Hierarchy:
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
     """Fit on a bounded sample of labelled rows (doc_id, text, lang); None where no row has a language and a letter.
 
-    Only rows' ids and languages are ranked, and of a language only those whose hash is so
-    small that some per_language x 4 are expected below it: no task gets more, however many
-    rows a language has. The sampled rows' features, at most per_language x languages of
-    fixed length, come to the driver.
+    Only rows' ids and languages are ranked, in two steps, so that no task gets more than
+    per_language rows of each of TREE parts, however many rows and tasks there are. The
+    sampled rows' features, at most per_language x languages of fixed length, come to the driver.
     """
-    labelled = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    slots = 1 << 30
-    sized = labelled.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots))).join(labelled.groupBy("lang").agg(F.count("*").alias("of")), "lang")
-    low = sized.filter(F.col("slot") * (F.col("of") / slots) < 4 * per_language + 100)
-    w = Window.partitionBy("lang").orderBy("slot", "doc_id")
-    ids = [r[0] for r in low.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select("doc_id").distinct().collect()]
+    labelled = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("part", F.spark_partition_id() % TREE)
+    # Whatever part a row is in, the smallest hashes of a language are among the smallest of their parts.
+    for of in (["lang", "part"], ["lang"]):
+        w = Window.partitionBy(*of).orderBy(F.xxhash64("doc_id"), "doc_id")
+        labelled = labelled.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language)
+    ids = [r[0] for r in labelled.select("doc_id").distinct().collect()]
     if not ids:
         return None
 
