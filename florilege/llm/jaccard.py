@@ -386,17 +386,21 @@ def _near_points(percent: int, dense: int):
         cuts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
         found: list[tuple] = []
 
-        def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Rows of x and of y whose bound reaches what a link needs."""
-            if not len(x) or not len(y):
-                return x[:0], y[:0]
-            if len(x) * len(y) <= 4 * LEAF * LEAF:
-                p, q = points[x], points[y]
-                i, j = np.nonzero(np.minimum(p[:, None, :], q[None, :, :]).sum(2) >= needed(p.sum(1)[:, None], q.sum(1)[None, :], percent))
-                return x[i], y[j]
-            tree = RTree(points[x])
-            hits = [tree.search(q, percent) for q in points[y]]
-            return x[np.concatenate(hits)], np.repeat(y, [len(h) for h in hits])
+        def near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray | None:
+            """Pairs (smaller id, larger id) of rows of x and of y across components whose bound reaches what a link needs; None if there are more than `most`."""
+            pairs, n = [np.zeros((0, 2), np.int64)], 0
+            p, size = points[x], points[x].sum(1)
+            tree = RTree(p) if len(x) > LEAF else None
+            for j in y.tolist():
+                q = points[j]
+                i = x[tree.search(q, percent) if tree else np.minimum(p, q).sum(1) >= needed(size, q.sum(), percent)]
+                i = i[label[i] != label[j]]
+                n += len(i)
+                if n > most:
+                    return None
+                if len(i):
+                    pairs.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+            return np.concatenate(pairs)
 
         for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rows = order[start:stop]
@@ -405,16 +409,14 @@ def _near_points(percent: int, dense: int):
                 continue
             # Pairs across components have an end outside the largest one.
             names, n = np.unique(label[rows], return_counts=True)
-            main = names[n.argmax()]
-            sides = [near(left, right[label[right] != main])]
-            if low != high:
-                sides.append(near(right[label[right] == main], left[label[left] != main]))
-            i, j = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
-            across = label[i] != label[j]
-            both = np.unique(np.stack([np.minimum(ids[i], ids[j])[across], np.maximum(ids[i], ids[j])[across]], 1), axis=0)
-            if len(both) > dense * (len(left) + len(right)):
+            main, most = names[n.argmax()], dense * (len(left) + len(right))
+            sides = [near(left, right[label[right] != main], most)]
+            if low != high and sides[0] is not None:
+                sides.append(near(right[label[right] == main], left[label[left] != main], most))
+            if any(x is None for x in sides):
                 found.append((block[rows[:1]], None, None))
-            elif len(both):
+            elif sum(map(len, sides)):
+                both = np.unique(np.concatenate(sides), axis=0)
                 found.append((np.full(len(both), block[rows[0]]), both[:, 0], both[:, 1]))
         column = lambda k: pa.concat_arrays([pa.array([None] if f[k] is None else f[k], pa.int64()) for f in found]) if found else pa.array([], pa.int64())
         n = sum(len(f[0]) for f in found)
