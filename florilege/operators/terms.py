@@ -111,6 +111,24 @@ def by_document(rows: DataFrame, of: Callable[[list[tuple]], tuple[list, ...]],
     return out.withColumn("order", F.col("order").cast(own)) if "order" in columns else out
 
 
+def centroid(sentences: DataFrame, most: int = MOST, share: float = SHARE) -> DataFrame:
+    """doc_id, term, value: the mean of sentences.vectors() of a document's sentences."""
+
+    def of(rows):
+        doc = Document(rows)
+        kept = doc.vocabulary(most, share)
+        more = Counter()  # what repeats within a sentence add to the df that the weights of single ones come to
+        for s in doc.sentences:
+            if isinstance(s, Counter):
+                for t, tf in s.items():
+                    if tf > 1:
+                        more[t] += math.log(tf)
+        n = doc.n
+        return [t for t, _ in kept], [(df + more[t] if t in more else df) * idf / n for (t, df), idf in zip(kept, doc.idf(kept), strict=True)]
+
+    return by_document(sentences.filter("doc_id IS NOT NULL"), of, {"term": "string", "value": "double"})
+
+
 def summary_similarity(sentences: DataFrame, summaries: DataFrame | Column, most: int = MOST, share: float = SHARE) -> DataFrame:
     """sentences.sparse_summary_similarity()."""
 

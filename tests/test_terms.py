@@ -60,3 +60,17 @@ def test_summary_similarity(spark, body):
 
 def test_summary_similarity_shuffles_sentences_once(spark):
     assert exchanges(catalog.queries()["sparse_summary_similarity"](spark, "/root/testdata/sf0.001")) <= 2  # the texts of so small a table are dealt out too
+
+
+def test_centroid(spark, body):
+    value = {}
+    for r in sentences.vectors(body).filter("doc_id IS NOT NULL").collect():
+        value[r.doc_id, r.term] = value.get((r.doc_id, r.term), 0) + r.value
+    n = {1: 4, 2: 4, 3: 1}
+    got = {(r.doc_id, r.term): round(r.value, 9) for r in terms.centroid(body).collect()}
+    assert got == {k: round(v / n[k[0]], 9) for k, v in value.items()} and len(got) > 20
+
+
+def test_centroid_shuffles_sentences_once(spark):
+    df = catalog.queries()["centroid"](spark, "/root/testdata/sf0.001")
+    assert exchanges(df) <= 2 and "Window" not in df._jdf.queryExecution().executedPlan().toString()
