@@ -111,6 +111,17 @@ def by_document(rows: DataFrame, of: Callable[[list[tuple]], tuple[list, ...]],
     return out.withColumn("order", F.col("order").cast(own)) if "order" in columns else out
 
 
+def vocabularies(sentences: DataFrame, most: int = MOST, share: float = SHARE) -> DataFrame:
+    """doc_id, term, df, n, rank: sentences.vocabulary() of sentences.term_frequency()."""
+
+    def of(rows):
+        doc = Document(rows)
+        kept = doc.vocabulary(most, share)
+        return [t for t, _ in kept], [df for _, df in kept], [doc.n] * len(kept), range(1, len(kept) + 1)
+
+    return by_document(sentences.filter("doc_id IS NOT NULL"), of, {"term": "string", "df": "long", "n": "long", "rank": "int"})
+
+
 def centroid(sentences: DataFrame, most: int = MOST, share: float = SHARE) -> DataFrame:
     """doc_id, term, value: the mean of sentences.vectors() of a document's sentences."""
 

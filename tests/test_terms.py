@@ -74,3 +74,19 @@ def test_centroid(spark, body):
 def test_centroid_shuffles_sentences_once(spark):
     df = catalog.queries()["centroid"](spark, "/root/testdata/sf0.001")
     assert exchanges(df) <= 2 and "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [3, 16_000])
+def test_vocabularies(body, most):
+    def both(rows, *columns):
+        old, new = sentences.vocabulary(sentences.term_frequency(rows), rows, most), terms.vocabularies(rows, most)
+        a, b = ({tuple(r) for r in x.select("doc_id", *columns).collect()} for x in (old, new))
+        assert a == b and len(a) >= 3
+
+    both(body.filter("doc_id <> 2 OR doc_id IS NULL"), "term", "df", "n", "rank")
+    if most > 3:  # where two documents share an id, terms share first places, and the order of those is open
+        both(body, "term", "df", "n")
+
+
+def test_vocabularies_shuffle_sentences_once(spark):
+    assert exchanges(catalog.queries()["vocab_topk"](spark, "/root/testdata/sf0.001")) <= 2
